@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import leaks, mix, split, terms, unify
+from docloom.llm import leaks, mix, neardup, similar, split, terms, unify
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = similar.similar_pairs(_t(spark, d, "chunks"), k=10, least=0.75)
+    return found.select(F.col("id_1").alias("chunk_id_1"), F.col("id_2").alias("chunk_id_2"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.distinctive(_t(spark, d, "chunks"), _t(spark, d, "search_recommendations")).select("record_kind", "record_id", "term")
 
@@ -23,6 +28,19 @@ def p3_ppmi(spark: SparkSession, d: str) -> DataFrame:
     return found.select("record_kind", "record_id", "term", "tf", "df", F.round("score", 4).alias("score"))
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(_t(spark, d, "chunks"), "chunk_id", "content", width=3, least=0.6, least_words=20)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neardup.member_pairs(*_near(spark, d))
+    return found.select(F.col("id_1").alias("chunk_id_1"), F.col("id_2").alias("chunk_id_2"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(*_near(spark, d)).withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(_t(spark, d, "chunks"), _t(spark, d, "chunking_config"), by="kind").where("piece_no > 0").select("chunk_id", "cut_at")
 
@@ -57,7 +75,7 @@ def p9_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_ppmi, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_unified)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_ppmi, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_unified)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,94 +1,149 @@
 """How distinctive a term is of a record (problem 3).
 
-Joint counts (term, record) and the marginal counts of terms and records come from group-bys; joins bring them together.
-Two scores use the same counts:
+The marginal counts of terms come from one group-by (pre-aggregated per slice of records), and a join brings them to the
+joint counts of term and record. Two scores use the same counts:
 
-* ppmi: positive pointwise mutual information, ln(p(term, record) / (p(term) * q(record))) where q(record) is proportional
-  to the record's count raised to a fractional exponent (0.75), which keeps short records from winning;
+* ppmi: positive pointwise mutual information, ln(tf * S / (n_term * n_record ** 0.75)) with S the sum of all
+  n_record ** 0.75: the record's count is smoothed by a fractional exponent;
 * tfidf: tf * ln((N + 1) / (df + 1)).
+
+The join has two parts. The most frequent terms (FREQUENT at most, so their table is bounded) are joined map-side, where
+the records are scanned: a term that a third of all records hold is never shuffled, and of a record's frequent terms only
+its k best go on. The postings of all other terms are shuffled by term; none of those is hot.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Exponent of the records' counts.
 SMOOTHING = 0.75
-
-
-def content_terms(content: Column) -> Column:
-    """Maximal runs of ASCII letters, digits and '_' in the lower-cased content that have two characters and a letter."""
-    return F.filter(F.split(F.lower(content), "[^a-z0-9_]+"), lambda t: (F.length(t) >= 2) & t.rlike("[a-z]"))
-
-
-def list_terms(terms: Column) -> Column:
-    """Entries of an array, trimmed and lower-cased; null and blank entries are none."""
-    return F.filter(F.transform(terms, lambda t: F.lower(F.regexp_replace(t, r"^\s+|\s+$", ""))), lambda t: t.isNotNull() & (t != ""))
-
-
-def counts(records: DataFrame, record: str, terms: str) -> DataFrame:
-    """(record, term, tf) from one row per record with its array of terms.
-
-    A record's repeated terms are counted inside its row, so no shuffle is needed for tf.
+#: Terms joined map-side: the most frequent ones, at most so many.
+FREQUENT = 65_536
+#: Distinct terms counted in a task before its partial counts are handed on.
+PARTIAL = 200_000
+#: Maximal runs of [a-z0-9_] with two characters and a letter.
+TERM = re.compile(r"(?=[0-9_]*[a-z])[a-z0-9_]{2,}")
+
+
+def terms_of(value) -> list[str]:
+    """Terms of a text, or the trimmed, lower-cased entries of a list (blank and null entries are none)."""
+    if value is None:
+        return []
+    if isinstance(value, str):
+        return TERM.findall(value.lower())
+    return [t for t in (x.strip().lower() for x in value if x is not None) if t]
+
+
+def marginals(records: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """(term, df, n_term) of records (record, value); the row with a null term has N and the sum of smoothed record counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        n_term: Counter = Counter()
+        n, smooth = 0, 0.0
+
+        def out() -> pa.RecordBatch:
+            names = list(df)
+            return pa.RecordBatch.from_arrays([pa.array([*names, None], pa.string()), pa.array([*df.values(), n], pa.int64()), pa.array([*(float(n_term[t]) for t in names), smooth], pa.float64())], names=["term", "df", "n_term"])
+
+        for b in batches:
+            for v in b.column("value"):
+                found = terms_of(v.as_py())
+                n += 1
+                if found:
+                    smooth += len(found) ** smoothing
+                    df.update(set(found))
+                    n_term.update(found)
+            if len(df) > PARTIAL:
+                yield out()
+                df, n_term, n, smooth = Counter(), Counter(), 0, 0.0
+        yield out()
+
+    return records.select("value").mapInArrow(run, "term string, df long, n_term double").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_term").alias("n_term"))
+
+
+def best_terms(records: DataFrame, k: int, score: str = "tfidf", min_df: int = 2, smoothing: float = SMOOTHING, frequent: int = FREQUENT) -> DataFrame:
+    """(record, term, tf, df, score, rank): the k best terms of each record of records (record, value).
+
+    value is a text or an array of strings. Terms in fewer than min_df records take no part; ties: smaller term first (by its
+    bytes). Null values and records without terms count in N and give no row. record must be unique.
     """
-    runs = F.expr(f"""filter(transform(sequence(1, size({terms})), i -> if(i = 1 or {terms}[i - 1] <> {terms}[i - 2], i, null)), i -> i is not null)""")
-    sorted_ = records.select(F.col(record).alias("record"), F.array_sort(terms).alias(terms)).where(F.size(terms) > 0)
-    starts = sorted_.withColumn("starts", runs)
-    each = F.expr(f"""transform(starts, (s, k) -> struct({terms}[s - 1] as term, if(k + 1 < size(starts), starts[k + 1], size({terms}) + 1) - s as tf))""")
-    return starts.select("record", F.explode(each).alias("x")).select("record", "x.term", "x.tf")
-
-
-def score_terms(joint: DataFrame, n_records: DataFrame | None = None, score: str = "tfidf", min_df: int = 2, smoothing: float = SMOOTHING) -> DataFrame:
-    """(record, term, tf, df, score) from joint counts; terms in fewer than min_df records take no part.
-
-    The term's marginal counts are aggregated map-side before they are shuffled, so a term that a third of all records
-    hold costs one row per task; the join back to the postings is left to skew handling.
-    n_records: one row, column n, the number N of records (by default those that have terms).
-    """
-    by_term = joint.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_term")).where(F.col("df") >= min_df)
-    if score == "tfidf":
-        n = joint.agg(F.countDistinct("record").alias("n")) if n_records is None else n_records
-        idf = by_term.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))  # one row
-        return joint.join(idf, "term").select("record", "term", "tf", "df", (F.col("tf") * F.col("idf")).alias("score"))
-    if score != "ppmi":
+    if score not in ("tfidf", "ppmi"):
         raise ValueError(score)
-    by_record = joint.groupBy("record").agg(F.sum("tf").alias("n_record"))
-    totals = by_record.agg(F.sum("n_record").alias("total"), F.sum(F.pow("n_record", F.lit(smoothing))).alias("smooth_total"))  # one row
-    pmi = F.log(F.col("tf") * F.col("smooth_total") / (F.col("n_term") * F.pow("n_record", F.lit(smoothing))))
-    return joint.join(by_term, "term").join(by_record, "record").crossJoin(F.broadcast(totals)).select("record", "term", "tf", "df", F.greatest(F.lit(0.0), pmi).alias("score"))
-
-
-def top_terms(scored: DataFrame, k: int) -> DataFrame:
-    """The k best terms of each record; ties: smaller term first."""
-    if k == 1:
-        return scored.groupBy("record").agg(F.min_by(F.struct("term", "tf", "df", "score"), F.struct((-F.col("score")).alias("s"), "term")).alias("x")).select("record", "x.*", F.lit(1).alias("rank"))
+    by_term = marginals(records, smoothing).where((F.col("df") >= min_df) | F.col("term").isNull()).persist()
+    n, smooth = next(((r["df"], r["n_term"]) for r in by_term.where("term is null").collect()), (0, 0.0))
+    # at most `frequent` rows, whatever the data's size
+    top = by_term.where("term is not null").orderBy(F.desc("df"), "term").limit(frequent).collect()
+    known = {r["term"]: (r["df"], r["n_term"]) for r in top}
+    complete = len(top) < frequent
+    sent = records.sparkSession.sparkContext.broadcast(known)
+    kind = records.schema["record"].dataType.simpleString()
+
+    def value_of(tf: int, df: float, n_term: float, n_record: int) -> float:
+        if score == "tfidf":
+            return tf * float(np.log((n + 1) / (df + 1)))
+        return max(0.0, float(np.log(tf * smooth / (n_term * n_record**smoothing))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for b in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for i, v in enumerate(b.column("value")):
+                found = terms_of(v.as_py())
+                if not found:
+                    continue
+                local = []
+                m = len(found)
+                for t, tf in Counter(found).items():
+                    c = table.get(t)
+                    if c is not None:
+                        local.append((-value_of(tf, c[0], c[1], m), t, tf, c[0]))
+                    elif not complete:
+                        at.append(i)
+                        rows.append((t, tf, None, None, m))
+                for s, t, tf, d in heapq.nsmallest(k, local):
+                    at.append(i)
+                    rows.append((t, tf, d, -s, m))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column("record").take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True))], names=["record", "term", "tf", "df", "score", "n_record"])
+
+    scored = records.select("record", "value").mapInArrow(run, f"record {kind}, term string, tf long, df long, score double, n_record long")
+    if not complete:
+        # only the postings of terms beyond the bounded table are shuffled; this scans the records once more
+        rest = scored.where("df is null").drop("df", "score").join(by_term.where("term is not null"), "term")
+        if score == "tfidf":
+            value = F.col("tf") * F.log((F.lit(n) + 1) / (F.col("df") + 1))
+        else:
+            value = F.greatest(F.lit(0.0), F.log(F.col("tf") * F.lit(smooth) / (F.col("n_term") * F.pow("n_record", F.lit(smoothing)))))
+        scored = scored.where("df is not null").drop("n_record").unionByName(rest.select("record", "term", "tf", "df", value.alias("score")))
     w = Window.partitionBy("record").orderBy(F.desc("score"), "term")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.select("record", "term", "tf", "df", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
 def chunk_records(chunks: DataFrame) -> DataFrame:
-    """(record, terms) of chunks with non-null content, one row per chunk_id."""
+    """(record, value) of chunks with non-null content, one row per chunk_id."""
     one = chunks.where("content is not null and chunk_id is not null").select("chunk_id", "content").dropDuplicates(["chunk_id"])
-    return one.select(F.col("chunk_id").alias("record"), content_terms(F.col("content")).alias("terms"))
+    return one.select(F.col("chunk_id").alias("record"), F.col("content").alias("value"))
 
 
 def recommendation_records(recs: DataFrame) -> DataFrame:
-    """(record, terms) of recommendations with a non-empty suggested_terms, one row per id."""
+    """(record, value) of recommendations with a non-empty suggested_terms, one row per id."""
     one = recs.where("id is not null and size(suggested_terms) > 0").select("id", "suggested_terms").dropDuplicates(["id"])
-    return one.select(F.col("id").alias("record"), list_terms(F.col("suggested_terms")).alias("terms"))
+    return one.select(F.col("id").alias("record"), F.col("suggested_terms").alias("value"))
 
 
 def distinctive(chunks: DataFrame, recs: DataFrame, score: str = "tfidf", k_chunk: int = 3, k_rec: int = 1) -> DataFrame:
-    """(record_kind, record_id, term, tf, df, score, rank) for the best terms of every chunk and recommendation.
-
-    Null content and null ids take no part; records without terms count in N and give no row.
-    """
-    parts = []
-    for kind, records, k in (("chunk", chunk_records(chunks), k_chunk), ("recommendation", recommendation_records(recs), k_rec)):
-        key = records.select(F.xxhash64("record").alias("r"), "record", "terms") if kind == "chunk" else records.withColumn("r", F.col("record"))
-        joint = counts(key, "r" if kind != "chunk" else "record", "terms")
-        n = records.agg(F.count("*").alias("n"))
-        best = top_terms(score_terms(joint, n, score), k)
-        parts.append(best.select(F.lit(kind).alias("record_kind"), F.col("record").alias("record_id"), "term", F.col("tf").cast("long").alias("tf"), "df", "score", F.col("rank").cast("int").alias("rank")))
+    """(record_kind, record_id, term, tf, df, score, rank) for the best terms of every chunk and recommendation."""
+    parts = [best_terms(records, k, score).select(F.lit(kind).alias("record_kind"), F.col("record").alias("record_id"), "term", "tf", "df", "score", "rank") for kind, records, k in (("chunk", chunk_records(chunks), k_chunk), ("recommendation", recommendation_records(recs), k_rec))]
     return parts[0].unionByName(parts[1])
