@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import leaks, mix, neardup, similar, split, terms, unify
+from docloom.llm import leaks, mix, neardup, secrets, similar, split, terms, unify
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +28,15 @@ def p3_ppmi(spark: SparkSession, d: str) -> DataFrame:
     return found.select("record_kind", "record_id", "term", "tf", "df", F.round("score", 4).alias("score"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(_t(spark, d, "chunks")).select("chunk_id", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _t(spark, d, "chunks").select("chunk_id", "file_path", "content")
+    return secrets.redact(chunks, secrets.find_secrets(chunks)).select("chunk_id", "redacted_content")
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.near_duplicates(_t(spark, d, "chunks"), "chunk_id", "content", width=3, least=0.6, least_words=20)
 
@@ -75,7 +84,7 @@ def p9_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_ppmi, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_unified)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_ppmi, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_unified)}
 
 
 def oracle_sql() -> dict[str, str]:

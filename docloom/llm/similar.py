@@ -24,11 +24,13 @@ DIM = 512
 BLOCK, BLOCKS, TABLES, PROBES = 32, 2, 6, 4
 #: Axes per block that probing considers.
 AXES = 4
-SKETCH_WORDS = 4
+SKETCH_WORDS = 3
 #: Standard deviations of the sketch's error that a pair at the least cosine may fall behind and still be verified.
 SLACK = 2.6
 #: Vectors in a cell that indexing aims at; with the number of vectors this sets the blocks joined in a table.
 CELL = 128
+#: The filter of vectors with candidates has at most 2 ** FILTER_BITS bits (8 MB); beyond about 8 M vectors it lets more through.
+FILTER_BITS = 26
 #: Pairs verified at once in a task, and pairs after which a block is split.
 VERIFY, BLOCK_PAIRS = 20_000, 50_000
 
@@ -203,19 +205,31 @@ def similar_pairs(vectors: DataFrame, id: str = "chunk_id", vector: str = "embed
     met = query.join(index.hint("merge"), (query["cell"] == index["cell"]) & (F.col("a") != F.col("b")) & (apart <= most_bits(least)))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().persist()
 
-    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lead = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lead"))
+    # a fixed-size filter of the vectors that have candidates, so that the others are not shuffled
+    bits = 1 << min(FILTER_BITS, max(16, int(8 * n).bit_length()))
+    place = F.pmod(F.col("c"), F.lit(bits))
+    words = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy((place / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(c, 64) as int)))").alias("m")).toPandas()
+    maybe = np.zeros(bits // 64, np.int64)
+    maybe[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    sent_filter = vectors.sparkSession.sparkContext.broadcast(maybe)
+
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    lead = pairs.select(F.explode(turned).alias("x")).select("x.a", "x.b").groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lead"))
     placed = pairs.join(lead, "a")
     load = placed.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_PAIRS).alias("parts"))
-    placed = placed.join(load, "lead").select("a", "b", F.xxhash64("lead", F.when(F.col("parts") > 1, F.pmod(F.hash("a"), F.col("parts"))).otherwise(0)).alias("block"))
-    needed = placed.select("block", "a").unionByName(placed.select("block", F.col("b").alias("a"))).distinct()
+    placed = placed.join(load, "lead").select("a", "b", F.xxhash64("lead", F.when(F.col("parts") > 1, F.pmod(F.hash("a"), F.col("parts"))).otherwise(0)).alias("block")).persist()
+    needed = placed.select("block", F.explode(F.array("a", "b")).alias("a")).distinct()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent_filter.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 ok, x = usable(batch.slice(at, 2048).column("v"), dim)
                 if len(ok):
-                    yield pa.RecordBatch.from_arrays([pa.array(class_of(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["a", "v"])
+                    c = class_of(x)
+                    place = c % bits
+                    keep = (held[place >> 6] >> (place & 63)) & 1 == 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array([r.tobytes() for r in x[keep]], pa.binary())], names=["a", "v"])
 
     unit = rows.select("v").mapInArrow(packed, "a long, v binary")
     sent = needed.join(unit, "a").select("block", "a", F.lit(None).cast("long").alias("b"), "v")
@@ -225,13 +239,12 @@ def similar_pairs(vectors: DataFrame, id: str = "chunk_id", vector: str = "embed
     # a class's k + 1 smallest members stand for it as neighbours; every member is a query
     w = Window.partitionBy("c").orderBy("id")
     first = members.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
-    near = cos.unionByName(cos.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    self_ = first.where("n = 2").select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("cosine"))
-    best_class = Window.partitionBy("a").orderBy(F.desc("cosine"), "low")
-    low = first.where("n = 1").select(F.col("c").alias("b"), F.col("id").alias("low"))
-    # of a class's neighbours only the k + 1 best classes, by cosine and smallest member, can hold its k best vectors
-    near = near.unionByName(self_).join(low, "b").withColumn("r", F.row_number().over(best_class)).where(F.col("r") <= k + 1)
-    ranked = near.join(first.select(F.col("c").alias("b"), F.col("id").alias("id_b")), "b").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "id_b"))).where(F.col("r") <= k + 1).select("a", "cosine", "id_b")
+    near = cos.select(F.explode(F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))).alias("x")).select("x.*")
+    # of a class's neighbours only the k + 1 best by cosine, with all ties, can hold its k best vectors
+    near = near.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine")))).where(F.col("r") <= k + 1).drop("r")
+    itself = first.where("n = 2").select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("cosine"))
+    named = near.unionByName(itself).join(first.select(F.col("c").alias("b"), F.col("id").alias("id_b")), "b")
+    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "id_b"))).where(F.col("r") <= k + 1).select("a", "cosine", "id_b")
     mine = ranked.join(members.select(F.col("c").alias("a"), F.col("id").alias("id_a")), "a").where("id_a <> id_b")
-    kept = mine.withColumn("r", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("cosine"), "id_b"))).where(F.col("r") <= k)
+    kept = mine.withColumn("r", F.row_number().over(Window.partitionBy("a", "id_a").orderBy(F.desc("cosine"), "id_b"))).where(F.col("r") <= k)
     return kept.groupBy(F.least("id_a", "id_b").alias("id_1"), F.greatest("id_a", "id_b").alias("id_2")).agg(F.max("cosine").alias("cosine"))
