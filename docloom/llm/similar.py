@@ -24,9 +24,9 @@ DIM = 512
 BLOCK, BLOCKS, TABLES, PROBES = 32, 2, 6, 4
 #: Axes per block that probing considers.
 AXES = 4
-SKETCH_WORDS = 3
+SKETCH_WORDS = 4
 #: Standard deviations of the sketch's error that a pair at the least cosine may fall behind and still be verified.
-SLACK = 2.6
+SLACK = 1.5
 #: Vectors in a cell that indexing aims at; with the number of vectors this sets the blocks joined in a table.
 CELL = 128
 #: The filter of vectors with candidates has at most 2 ** FILTER_BITS bits (8 MB); beyond about 8 M vectors it lets more through.
