@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import values as V
 from docloom.functions.text import basename, directory, java, json_key_paths, lines, matches, pretty_json, replace, trim
@@ -137,7 +138,7 @@ def sections(c: Column) -> Column:
     return F.filter(F.aggregate(typed, empty, step), lambda s: F.length(trim(s["content"])) > 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def placeholder_blocks(c: pd.Series) -> pd.Series:
     """Fenced blocks replaced by numbered placeholders, as the strict sentence-aware chunking does; they are not put back."""
     import re

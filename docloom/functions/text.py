@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _W = "[A-Za-z0-9_]"
 _EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -122,13 +123,13 @@ def strip_markup_comments(c: Column) -> Column:
     return F.regexp_replace(c, r"<!--[\s\S]*?-->", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pretty_json(c: pd.Series) -> pd.Series:
     """JSON with an indent of two; what is no JSON is passed on."""
     return c.map(lambda s: _pretty(s)[0] if s is not None else None)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_key_paths(c: pd.Series) -> pd.Series:
     """Dotted paths of all keys; arrays are not entered but at the root, where positions are keys. Null for no JSON."""
     return c.map(lambda s: _pretty(s)[1] if s is not None else None)

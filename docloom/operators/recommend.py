@@ -31,7 +31,7 @@ def is_essential(query: Column, term: Column) -> Column:
     return F.lower(query).contains(F.concat(F.lit('"'), term, F.lit('"'))) | term.isin(V.ESSENTIAL_TERMS)
 
 
-def removable(stats: DataFrame, threshold: float = V.THRESHOLD_START) -> Column:
+def removable(threshold: float = V.THRESHOLD_START) -> Column:
     return (F.col("tfidf") < 1.0) & (F.col("tfidf") < threshold) & ~is_essential(F.col("query"), F.col("term"))
 
 
@@ -49,7 +49,7 @@ def recommend(queries: DataFrame, results: DataFrame, threshold: float = V.THRES
     """
     now = now if now is not None else F.current_timestamp()
     stats = term_statistics(queries, results).join(queries.select("query_id", "query"), "query_id")
-    stats = stats.withColumn("removable", removable(stats, threshold))
+    stats = stats.withColumn("removable", removable(threshold))
     order = F.struct("tfidf", "term_pos")
     # at most MAX_TERMS rows per query
     per = stats.groupBy("query_id", "query").agg(

@@ -679,7 +679,7 @@ _ESSENTIAL = f"(contains(lower(query), '\"' || term || '\"') OR term IN ({', '.j
 @query(f"WITH {RESULTS} SELECT query_id, term, tfidf < 1.0 AND tfidf < 0.25 AND NOT {_ESSENTIAL} AS removable FROM tf")
 def removable_terms(spark, d):
     q, r = searched(spark, d)
-    return recommend.term_statistics(q, r).join(q, "query_id").select("query_id", "term", recommend.removable(None).alias("removable"))  # type: ignore[arg-type]
+    return recommend.term_statistics(q, r).join(q, "query_id").select("query_id", "term", recommend.removable().alias("removable"))
 
 
 @query()
