@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import values as V
-from docloom.functions.text import clamp, count, lines, matches, trim
+from docloom.functions.text import clamp, count, let, lines, matches, trim
 
 
 def _sum(cols: list[Column]) -> Column:
@@ -39,7 +39,7 @@ def language(c: Column, ext: Column) -> Column:
     # the first with two or more decides; it overrules a known extension only with three or more
     hits = F.array(*[F.struct(F.lit(lang).alias("lang"), _sum([matches(c, p).cast("int") for p in ps]).alias("n")) for lang, ps in V.LANGUAGE_PATTERNS.items()])
     first = F.element_at(F.concat(F.filter(hits, lambda h: h["n"] >= 2), F.array(F.struct(F.lit("").alias("lang"), F.lit(0).alias("n")))), 1)
-    return F.when((first["n"] >= 2) & ((known == "unknown") | (first["n"] > 2)), first["lang"]).otherwise(known)
+    return let(first, lambda f: F.when((f["n"] >= 2) & ((known == "unknown") | (f["n"] > 2)), f["lang"]).otherwise(known))
 
 
 def semantic_density(c: Column, kind: Column) -> Column:
@@ -69,9 +69,9 @@ def documentation_presence(c: Column) -> Column:
 def indent_consistent(c: Column) -> Column:
     """Whether the widths of the indents of the non-empty lines have a common divisor of at most 8 (fewer than two do)."""
     indents = F.filter(F.transform(F.filter(lines(c), lambda x: F.length(trim(x)) > 0), lambda x: F.length(F.regexp_extract(x, r"^(\s+)", 1))), lambda n: n > 0)
-    # gcd by fold: subtracting is enough, since only its being at most 8 matters and widths are small
-    gcd = F.aggregate(indents, F.lit(0), lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.struct(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")), lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).alias("y"))), lambda s: s["x"]))
-    return F.when(F.size(indents) < 2, True).otherwise(gcd <= 8)
+    # a common divisor over 8 needs every width over 8
+    large = F.exists(F.sequence(F.lit(9), F.array_min(indents)), lambda k: F.forall(indents, lambda n: n % k == 0))
+    return F.when(F.size(indents) < 2, True).when(F.array_min(indents) <= 8, True).otherwise(~large)
 
 
 def structural_clarity(c: Column, kind: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,10 +18,18 @@ _TRIM = r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+\z"
 
 def java(pattern: str) -> str:
     """A pattern with ASCII word edges and only \\n as line end, whatever the characters around."""
-    p = pattern.replace(r"\b", _EDGE)
+    # next to a plain letter one look is enough
+    p = re.sub(r"\\b(?=[A-Za-z])", lambda _: f"(?<!{_W})", pattern)
+    p = re.sub(r"(?<=[A-Za-z])(?<!\\[A-Za-z])\\b", lambda _: f"(?!{_W})", p)
+    p = p.replace(r"\b", _EDGE)
     return p.replace("(?m)", "(?md)") if "(?m)" in p else p
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(java(pattern)))
 

@@ -193,8 +193,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def windows_sql(joined_sql: str) -> str:
-    return f"""w AS (SELECT file_path, j, unnest(range(0, length(j), 800)) AS at FROM ({joined_sql}))
-SELECT file_path, file_path || ':' || (at // 800) AS chunk_id, (at // 800)::BIGINT AS chunk_index, md5(substr(j, at + 1, 1000)) AS h, strlen(j)::BIGINT AS file_size, at::BIGINT AS chunk_offset, ceil(length(substr(j, at + 1, 1000)) / 4)::BIGINT AS token_count FROM w"""
+    return f"""w AS (SELECT file_path, j, unnest(range(0, length(j), 800)) AS o FROM ({joined_sql}))
+SELECT file_path, file_path || ':' || (o // 800) AS chunk_id, (o // 800)::BIGINT AS chunk_index, md5(substr(j, o + 1, 1000)) AS h, strlen(j)::BIGINT AS file_size, o::BIGINT AS chunk_offset, ceil(length(substr(j, o + 1, 1000)) / 4)::BIGINT AS token_count FROM w"""
 
 
 def chunked(spark, d, method: str) -> DataFrame:
@@ -217,10 +217,10 @@ def last_sql(mark: str) -> str:
 
 
 _DOT = f"greatest({last_sql('.')}, {last_sql('!')}, {last_sql('?')})"
-FIXED = f"""pieces(file_path, c, at, n, piece) AS (
+FIXED = f"""pieces(file_path, c, o, n, piece) AS (
   SELECT file_path, c, 1::BIGINT, 0, NULL::VARCHAR FROM docs
   UNION ALL
-  SELECT file_path, c, at + e, n + 1, substr(s, 1, e) FROM (SELECT *, CASE WHEN length(s) <= 800 THEN length(s) WHEN {_DOT} > 500 THEN {_DOT} + 1 WHEN {last_sql(' ')} > 300 THEN {last_sql(' ')} ELSE length(s) END AS e FROM (SELECT file_path, c, at, n, substr(c, at, 1000) AS s FROM pieces WHERE at <= length(c))))"""
+  SELECT file_path, c, o + e, n + 1, substr(s, 1, e) FROM (SELECT *, CASE WHEN length(s) <= 800 THEN length(s) WHEN {_DOT} > 500 THEN {_DOT} + 1 WHEN {last_sql(' ')} > 300 THEN {last_sql(' ')} ELSE length(s) END AS e FROM (SELECT file_path, c, o, n, substr(c, o, 1000) AS s FROM pieces WHERE o <= length(c))))"""
 
 
 @query(f"WITH RECURSIVE {DOCS}, {FIXED}, " + windows_sql("SELECT file_path, string_agg(piece, ' ' ORDER BY n) AS j FROM pieces WHERE piece IS NOT NULL GROUP BY file_path"))
@@ -242,8 +242,8 @@ def token_estimate(spark, d):
 
 
 @query("""WITH p AS (SELECT file_path, chunk_id, chunk_index, row_number() OVER (PARTITION BY file_path ORDER BY chunk_index) - 1 AS position FROM (SELECT DISTINCT file_path, chunk_id, chunk_index FROM chunks)),
-w AS (SELECT file_path, position AS at, chunk_index AS target_index FROM p WHERE chunk_index = 2)
-SELECT p.file_path, p.chunk_id, p.position, w.target_index::BIGINT AS target_index FROM p JOIN w USING (file_path) WHERE abs(p.position - w.at) <= 3""")
+w AS (SELECT file_path, position AS o, chunk_index AS target_index FROM p WHERE chunk_index = 2)
+SELECT p.file_path, p.chunk_id, p.position, w.target_index::BIGINT AS target_index FROM p JOIN w USING (file_path) WHERE abs(p.position - w.o) <= 3""")
 def chunk_context_window(spark, d):
     c = t(spark, d, "chunks").select("file_path", "chunk_id", "chunk_index").distinct()
     want = c.where("chunk_index = 2").select("file_path", "chunk_index")
@@ -444,10 +444,10 @@ def query_hash(spark, d):
 
 
 URLS = ["https://github.com/acme/tool.git", "https://github.com/acme/tool", "https://dev.azure.com/org/project/_git/repo", "git@host:acme/tool.git", "https://org.visualstudio.com/project/_git/repo", "plain", ""]
-_URLS = "u AS (SELECT unnest([" + ", ".join(map(lit, URLS)) + "]) AS url), b AS (SELECT url, regexp_replace(url, '\\.git$', '') AS bare FROM u), p AS (SELECT *, string_split(bare, '/') AS parts, list_filter(string_split(bare, '/'), lambda x: x <> '') AS f FROM b), a AS (SELECT *, coalesce(list_position(f, '_git'), 0) AS at FROM p)"
+_URLS = "u AS (SELECT unnest([" + ", ".join(map(lit, URLS)) + "]) AS url), b AS (SELECT url, regexp_replace(url, '\\.git$', '') AS bare FROM u), p AS (SELECT *, string_split(bare, '/') AS parts, list_filter(string_split(bare, '/'), lambda x: x <> '') AS f FROM b), a AS (SELECT *, coalesce(list_position(f, '_git'), 0) AS g FROM p)"
 
 
-@query(f"""WITH {_URLS} SELECT url, CASE WHEN (bare LIKE '%dev.azure.com%' OR bare LIKE '%visualstudio.com%') AND at > 2 AND len(f) > at THEN f[at - 2] || '_' || f[at - 1] || '_' || f[at + 1] WHEN len(parts) >= 2 THEN parts[-2] || '_' || parts[-1] ELSE substr(regexp_replace(regexp_replace(bare, '^https?://', ''), '[^a-zA-Z0-9]', '_', 'g'), 1, 50) END AS name FROM a""")
+@query(f"""WITH {_URLS} SELECT url, CASE WHEN (bare LIKE '%dev.azure.com%' OR bare LIKE '%visualstudio.com%') AND g > 2 AND len(f) > g THEN f[g - 2] || '_' || f[g - 1] || '_' || f[g + 1] WHEN len(parts) >= 2 THEN parts[-2] || '_' || parts[-1] ELSE substr(regexp_replace(regexp_replace(bare, '^https?://', ''), '[^a-zA-Z0-9]', '_', 'g'), 1, 50) END AS name FROM a""")
 def repo_name(spark, d):
     return spark.createDataFrame([(u,) for u in URLS], "url string").select("url", X.repo_name(F.col("url")).alias("name"))
 
@@ -476,11 +476,11 @@ def supported_extension(spark, d):
 # ---- classification
 
 def score_sql(patterns: list[str], each: float, most: float) -> str:
-    return " + ".join(f"least({most}, {n_of(p)} * {each})" for p in patterns)
+    return " + ".join(f"least({most}::DOUBLE, {n_of(p)} * {each}::DOUBLE)" for p in patterns)
 
 
 CODE_SQL = f"least(1.0, {score_sql(V.CODE_SCORE, 0.1, 0.3)})"
-DOCS_SQL = f"least(1.0, {score_sql(V.DOCS_SCORE, 0.05, 0.2)} + CASE WHEN len(list_filter(regexp_split_to_array(c, '[.!?]+'), lambda x: length({trim_sql('x')}) > 10)) > 3 THEN 0.3 ELSE 0 END)"
+DOCS_SQL = f"least(1.0, {score_sql(V.DOCS_SCORE, 0.05, 0.2)} + CASE WHEN len(list_filter(regexp_split_to_array(c, '[.!?]+'), lambda x: length({trim_sql('x')}) > 10)) > 3 THEN 0.3::DOUBLE ELSE 0 END)"
 CONFIG_SQL = f"least(1.0, {score_sql(V.CONFIG_SCORE, 0.1, 0.4)})"
 
 
@@ -837,15 +837,17 @@ def hash_embed_search(spark, d):
 @query()
 def stream_job_states(spark, d):
     """The job log run as a stream to its end; one last state per job."""
-    import os
     import tempfile
+    import uuid
 
     from docloom.streaming.streams import job_event_stream, job_state_stream
 
-    src = tempfile.mkdtemp(prefix="docloom-stream-")
-    os.symlink(os.path.abspath(f"{d}/job_events.parquet"), f"{src}/job_events.parquet") if spark.sparkContext.master.startswith("local[") else None
-    where = src if spark.sparkContext.master.startswith("local[") and os.path.isfile(f"{d}/job_events.parquet") else f"{d}/job_events.parquet"
-    name = "docloom_" + os.urandom(6).hex()
-    q = job_state_stream(job_event_stream(spark, where)).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "events"), "events").alias("x")).select("job_id", "x.*")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    out = f"{shared or tempfile.mkdtemp(prefix='docloom-')}/stream-{uuid.uuid4().hex}"
+    states = job_state_stream(job_event_stream(spark, f"{d}/job_events.parque[t]"), ttl_ms=None)
+    save = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/{n}")
+    states.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("job_id string, status string, progress double, message string, events long, batch long").parquet(f"{out}/rows/*")
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("status", F.round("progress", 6).alias("progress"), "events"), "batch").alias("x")).select("job_id", "x.*")

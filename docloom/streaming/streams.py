@@ -38,10 +38,11 @@ def ingest_stream(files: DataFrame, store: Store, checkpoint: str, config: Chunk
     return files.writeStream.foreachBatch(lambda df, _: ingest_batch(df, store, config, embedder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def job_state_stream(events: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def job_state_stream(events: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """(job_id, status, progress, message, events): a job's state after each micro-batch that has events of it.
 
-    A state is dropped ttl_ms after its job's last event; late events of a dropped job begin a new state.
+    A state is dropped ttl_ms after its job's last event; late events of a dropped job begin a new state. Without ttl_ms
+    states stay, and a stream that is to end with its input needs that: a timeout keeps it running.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,10 +62,11 @@ def job_state_stream(events: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataF
                 if status == "completed":
                     progress = 100.0
         state.update((ts, status, progress, message, n))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame([(key[0], status, progress, message, n)], columns=["job_id", "status", "progress", "message", "events"])
 
-    return events.where("job_id is not null").groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, progress double, message string, events long", "ts long, status string, progress double, message string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.where("job_id is not null").groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, progress double, message string, events long", "ts long, status string, progress double, message string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms is not None else GroupStateTimeout.NoTimeout)
 
 
 def learning_stream(log: DataFrame, key: str = "strategy", score: str = "score") -> DataFrame:
