@@ -75,5 +75,6 @@ def chunk(df: DataFrame, config: ChunkingConfig | None = None, content: str = "c
         src = src.withColumn("_text", placeholder_blocks("_text"))
     seg = {"fixed": lambda: fixed_segments(c, cfg.chunk_size), "sentence-aware": lambda: sentence_segments(c), "paragraph-aware": lambda: paragraph_segments(c)}[cfg.method]()
     joined = src.withColumn("_joined", F.concat_ws(" ", seg)).select("file_path", "_joined")
-    out = joined.select("file_path", F.octet_length("_joined").alias("file_size"), F.posexplode(windows(F.col("_joined"), cfg.chunk_size, cfg.overlap)).alias("chunk_index", "w"))
+    # outer, then filtered: an inner explode would have the joined text computed twice, see text.exploded
+    out = joined.select("file_path", F.octet_length("_joined").alias("file_size"), F.posexplode_outer(windows(F.col("_joined"), cfg.chunk_size, cfg.overlap)).alias("chunk_index", "w")).where("chunk_index is not null")
     return out.select("file_path", F.concat_ws(":", "file_path", F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", F.col("w.content").alias("content"), "file_size", F.col("w.chunk_offset").alias("chunk_offset"), token_estimate(F.col("w.content")).alias("token_count"))

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
+    """keep and one row per entry of an array that is dear to compute.
+
+    An inner explode would have the optimizer infer a filter on the array's size and push it down, which computes the array
+    a second time and before any repartitioning; an outer one with a filter on its output does not.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(java(pattern)))
 

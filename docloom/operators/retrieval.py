@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.domains import boost_factor
-from docloom.functions.vectors import cosine, l2
+from docloom.functions.vectors import matrix
 from docloom.schemas import SearchOptions
 
 
 def knn(chunks: DataFrame, vector: list[float], limit: int = 10, mode: str = "similarity", vector_col: str = "embedding", id_col: str = "chunk_id") -> DataFrame:
-    """The limit nearest rows with their score and rank; ties: smaller id. One TakeOrderedAndProject, no shuffle of the table."""
-    q = F.array(*[F.lit(float(x)) for x in vector])
-    good = chunks.where(F.size(vector_col) == len(vector))
-    score = cosine(F.col(vector_col), q) if mode == "similarity" else l2(F.col(vector_col), q)
+    """The limit nearest rows with their score; ties: smaller id. Rows whose vector has another size, a null or no finite
+    number take no part.
+
+    Distances are matrix products over Arrow batches; a batch hands on its best rows only (all that tie with the last), so
+    the final TakeOrderedAndProject sees batches x limit rows. Select the columns wanted before, they go through Python.
+    """
+    schema = T.StructType([*chunks.schema.fields, T.StructField("score", T.DoubleType())])
+    q = np.array(vector, np.float64)
+    norm = float(np.sqrt(q @ q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, x = matrix(b.column(vector_col), len(q))
+            if not len(rows):
+                continue
+            if mode == "similarity":
+                n = np.sqrt(np.einsum("ij,ij->i", x, x)) * norm
+                s = np.divide(x @ q, n, out=np.zeros(len(x)), where=n > 0)
+                key = -s
+            else:
+                key = s = np.sqrt(((x - q) ** 2).sum(1))
+            last = np.partition(key, min(limit, len(key)) - 1)[min(limit, len(key)) - 1]
+            at = np.flatnonzero(key <= last)
+            best = b.take(pa.array(rows[at]))
+            yield pa.RecordBatch.from_arrays([*best.columns, pa.array(s[at])], names=[*best.schema.names, "score"])
+
     order = F.desc("score") if mode == "similarity" else F.asc("score")
-    return good.withColumn("score", score).where(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(order, id_col).limit(limit)
+    return chunks.mapInArrow(run, schema).orderBy(order, id_col).limit(max(1, limit))
 
 
 def with_score_at_least(hits: DataFrame, least: float) -> DataFrame:

@@ -23,7 +23,7 @@ from docloom.operators import jobs, learning, recommend, retrieval, statistics
 from docloom.schemas import ChunkingConfig, SearchOptions
 from docloom.sources import store
 from docloom.sources.embedding import HashingEmbedder, embed, embed_query
-from docloom.sources.session import ship
+from docloom.sources.session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,9 +119,11 @@ hits AS (SELECT k.chunk_id, k.score, row_number() OVER (ORDER BY k.score DESC, k
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "chunks").select("chunk_id", "embedding")
-    good = c.where(F.size("embedding") == 512).where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)).dropDuplicates(["chunk_id"])
-    q = good.orderBy("chunk_id").select("embedding").first()[0]
-    top = retrieval.knn(good, q, 200).select("chunk_id", "score")
+    usable = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    sized = c.where(F.size("embedding") == 512)
+    q = sized.where(usable).orderBy("chunk_id").select("embedding").first()[0]
+    # as many rows of a chunk as there are deliveries may be among the hits
+    top = retrieval.knn(sized, q, 1000).select("chunk_id", "score").dropDuplicates(["chunk_id"]).orderBy(F.desc("score"), "chunk_id").limit(200)
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "chunk_id")))  # 200 rows
     meta = t(spark, d, "content_metadata").select("chunk_id", "content_type", "language", "domain_tags", "quality_score", "source_authority", "created_at")
     return retrieval.join_metadata(top, meta).drop("created_at")
@@ -189,7 +191,7 @@ DOCS = "docs AS (SELECT concat_ws('/', source, doc_id) AS file_path, text AS c F
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").where("text is not null").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
+    return spread(t(spark, d, "documents").where("text is not null").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content")))
 
 
 def windows_sql(joined_sql: str) -> str:
@@ -232,7 +234,7 @@ def chunk_fixed_breakpoints(spark, d):
 def chunk_segments(spark, d):
     from docloom.functions.chunking import fixed_segments
 
-    s = docs(spark, d).select("file_path", F.explode(fixed_segments(F.col("content"), 1000)).alias("piece"))
+    s = X.exploded(docs(spark, d), fixed_segments(F.col("content"), 1000), "piece", "file_path")
     return s.groupBy("file_path").agg(F.count("*").alias("pieces"), F.max(F.length("piece")).cast("long").alias("longest"), F.sum(F.length("piece")).alias("total"))
 
 
@@ -579,7 +581,7 @@ CONTENT_SQL = {k: "least(1.0, (" + " + ".join(f"{n_of(rf'\b{w}\b', 'lower(c)')}
 @query(f"WITH {BASE}, s AS (" + " UNION ALL ".join(f"SELECT chunk_id, {lit(k)} AS domain, ({q})::DOUBLE AS score FROM base" for k, q in CONTENT_SQL.items()) + ") SELECT chunk_id, domain, round(score, 4) AS score FROM s WHERE score >= 0.1")
 def domain_content(spark, d):
     e = D.content_evidence(F.col("c"), TEST_VOCABULARY)
-    return base(spark, d).select("chunk_id", F.explode(e).alias("x")).select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
+    return X.exploded(base(spark, d), e, "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
 
 
 _IMPORTED = "list_concat(list_concat(" + ", ".join(f"regexp_extract_all(lower(c), {lit(p)}, 1)" for p in V.IMPORT_PATTERNS[:2]) + f"), regexp_extract_all(lower(c), {lit(V.IMPORT_PATTERNS[2])}, 1))"
@@ -592,7 +594,7 @@ cx AS (SELECT chunk_id, 'web-frameworks' AS domain, n_web * 0.3 + n_py * 0.2 + C
 @query(f"WITH {CONTEXT} SELECT chunk_id, domain, round(score::DOUBLE, 4) AS score FROM cx WHERE score > 0")
 def domain_context(spark, d):
     e = D.context_evidence(F.col("c"), F.col("file_path"))
-    return base(spark, d).select("chunk_id", F.explode(e).alias("x")).select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
+    return X.exploded(base(spark, d), e, "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
 
 
 _PATH_ROWS = " UNION ALL ".join(f"SELECT chunk_id, {lit(k)} AS domain, 0.8 AS score, {i} AS o FROM base WHERE {' OR '.join(f'contains(lower(file_path), {lit(x)})' for x in ids)}" for i, (k, ids) in enumerate(V.PATH_DOMAINS.items()))
@@ -604,7 +606,7 @@ s AS (SELECT chunk_id, domain, sum(score) AS score, min(o) AS o FROM e GROUP BY
 SELECT chunk_id, domain, round(score::DOUBLE, 4) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY round(score::DOUBLE, 9) DESC, o) <= 5""")
 def domain_tags_top5(spark, d):
     rows = D.tag(base(spark, d).withColumn("lang", F.lit(None).cast("string")), content="c", language="lang", vocabulary=TEST_VOCABULARY)
-    return rows.select("chunk_id", F.explode("domain_scores").alias("x")).select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
+    return X.exploded(rows, F.col("domain_scores"), "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
 
 
 def _intent_sql(k: str, boost: float, words: dict[str, float], i: int) -> str:
@@ -621,7 +623,7 @@ INTENT = f"{REC}, w AS (SELECT id, query, list_filter(regexp_split_to_array(rege
 @query(f"WITH {INTENT} SELECT id, domain, matched, round(confidence::DOUBLE, 4) AS confidence FROM top")
 def query_intent_top3(spark, d):
     q = D.query_intent(recs(spark, d), vocabulary=TEST_VOCABULARY)
-    return q.select("id", F.explode("detected_domains").alias("x")).select("id", "x.domain", F.concat_ws(" ", "x.matched_keywords").alias("matched"), F.round("x.confidence", 4).alias("confidence"))
+    return X.exploded(q, F.col("detected_domains"), "x", "id").select("id", "x.domain", F.concat_ws(" ", "x.matched_keywords").alias("matched"), F.round("x.confidence", 4).alias("confidence"))
 
 
 @query(f"WITH {INTENT} SELECT r.id, round(coalesce(avg(confidence), 0.5)::DOUBLE, 4) AS confidence FROM r LEFT JOIN top ON r.id = top.id GROUP BY r.id")

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -38,3 +38,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, os.path.join(root.name, p.relative_to(root)))
     spark.sparkContext.addPyFile(str(out))  # Spark's own file server hands it to every executor
     _shipped.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer, as a small file with one row group does; costly
+    expressions then run side by side. Tables of many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
