@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import leaks, markup, mix, neardup, secrets, similar, split, terms, unify
+from docloom.llm import leaks, markup, mix, neardup, secrets, similar, split, terms, unify, wrappers
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_text(_t(spark, d, "chunks").select("chunk_id", "file_path", "content")).select("chunk_id", "clean_text")
 
 
+def p2_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    """Wrappers of the pages of each repository: the chunks of its HTML files."""
+    c = _t(spark, d, "chunks").select("chunk_id", "file_path", "content").where(F.col("file_path").rlike(r"(?i)\.x?html?$")).dropDuplicates(["chunk_id"])
+    return wrappers.infer(c.withColumn("host", F.regexp_extract("file_path", r"^(/[^/]+/[^/]+/[^/]+)/", 1)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.distinctive(_t(spark, d, "chunks"), _t(spark, d, "search_recommendations")).select("record_kind", "record_id", "term")
 
@@ -92,7 +98,7 @@ def p9_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_ppmi, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_unified)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p2_wrappers, p3_found, p3_ppmi, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_unified)}
 
 
 def oracle_sql() -> dict[str, str]:
