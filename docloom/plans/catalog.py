@@ -120,7 +120,7 @@ hits AS (SELECT k.chunk_id, k.score, row_number() OVER (ORDER BY k.score DESC, k
 def hits(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "chunks").select("chunk_id", "embedding")
     usable = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
-    sized = c.where(F.size("embedding") == 512)
+    sized = c.where((F.size("embedding") == 512) & F.exists("embedding", lambda x: x != 0))
     q = sized.where(usable).orderBy("chunk_id").select("embedding").first()[0]
     # as many rows of a chunk as there are deliveries may be among the hits
     top = retrieval.knn(sized, q, 1000).select("chunk_id", "score").dropDuplicates(["chunk_id"]).orderBy(F.desc("score"), "chunk_id").limit(200)
