@@ -101,5 +101,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p2_wrappers, p3_found, p3_ppmi, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_unified)}
 
 
+def _terms_sql(kind: str, name: str, k: int) -> str:
+    return f"""{name}_j AS (SELECT record_id, term, count(*) AS tf FROM {name}_t GROUP BY ALL), {name}_d AS (SELECT term, count(*) AS df FROM {name}_j GROUP BY 1 HAVING count(*) >= 2),
+{name}_b AS (SELECT '{kind}' AS record_kind, record_id, term FROM {name}_j JOIN {name}_d USING (term) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY tf * ln(((SELECT count(*) FROM {name}) + 1) / (df + 1)) DESC, term) <= {k})"""
+
+
+P3 = rf"""WITH c AS (SELECT chunk_id AS record_id, any_value(content) AS v FROM chunks WHERE content IS NOT NULL GROUP BY 1),
+c_t AS (SELECT record_id, term FROM (SELECT record_id, unnest(regexp_extract_all(lower(v), '[a-z0-9_]+')) AS term FROM c) WHERE length(term) >= 2 AND regexp_matches(term, '[a-z]')),
+{_terms_sql("chunk", "c", 3)},
+r AS (SELECT id AS record_id, any_value(suggested_terms) AS v FROM search_recommendations WHERE len(suggested_terms) > 0 GROUP BY 1),
+r_t AS (SELECT record_id, lower(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS term FROM (SELECT record_id, unnest(v) AS x FROM r) WHERE x IS NOT NULL AND regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''),
+{_terms_sql("recommendation", "r", 1)}
+SELECT * FROM c_b UNION ALL SELECT * FROM r_b"""
+
+
+def _windows_sql(table: str, key: str) -> str:
+    return rf"""SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12)"""
+
+
+P7 = f"WITH d AS ({_windows_sql('documents', 'doc_id')}), e AS ({_windows_sql('eval_items', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (k)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only where SQL states the same result in good time: the others are approximate, sequential or need Unicode tables."""
+    return {"p3_found": P3, "p7_found": P7}
