@@ -13,6 +13,7 @@ smallest candidate, and blocks are split by a's hash where they grow large. Equa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ AXES = 4
 SKETCH_WORDS = 4
 #: Standard deviations of the sketch's error that a pair at the least cosine may fall behind and still be verified.
 SLACK = 1.5
+#: The same where more than BLOCKS blocks are joined: half as many tables then reach RECALL.
+WIDE_SLACK = 2.3
+#: Modelled odds that a pair at the least cosine is found where more than BLOCKS blocks are joined; the tables are raised to it.
+RECALL = 0.92
 #: Vectors in a cell that indexing aims at; with the number of vectors this sets the blocks joined in a table.
 CELL = 128
 #: The filter of vectors with candidates has at most 2 ** FILTER_BITS bits (8 MB); beyond about 8 M vectors it lets more through.
@@ -127,11 +132,30 @@ def most_bits(least_cosine: float, slack: float = SLACK) -> int:
     return int(n * p + slack * np.sqrt(n * p * (1 - p)))
 
 
-def _codes(vectors: DataFrame, dim: int, blocks: int) -> DataFrame:
+@lru_cache
+def tables_for(dim: int, blocks: int, least: float, pairs: int = 2000) -> int:
+    """Tables that find a pair at the least cosine with odds of RECALL, by hashing random pairs at that cosine."""
+    if blocks <= BLOCKS:
+        return TABLES
+    rng = np.random.default_rng([dim, blocks])
+    x, z = rng.normal(size=(2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= np.einsum("ij,ij->i", x, z)[:, None] * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    x, y = x.astype(np.float32), (least * x + np.sqrt(1 - least * least) * z).astype(np.float32)
+    hasher = Hasher(dim, blocks, 8)
+    a, b = hasher.cells(x), hasher.cells(y)
+    met = float(((a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)).mean())
+    apart = np.unpackbits((hasher.sketch(x) ^ hasher.sketch(y)).view(np.uint8), axis=1).sum(1)
+    need = min(0.99, RECALL / max(float((apart <= most_bits(least, WIDE_SLACK)).mean()), 1e-3))
+    return max(TABLES, int(np.ceil(np.log(1 - need) / np.log(1 - min(max(met, 1e-3), 0.99)))))
+
+
+def _codes(vectors: DataFrame, dim: int, blocks: int, tables: int) -> DataFrame:
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(dim, blocks)
+        hasher = Hasher(dim, blocks, tables)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
@@ -195,14 +219,14 @@ def similar_pairs(vectors: DataFrame, id: str = "chunk_id", vector: str = "embed
     rows = vectors.select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null")
     n = expected or rows.count()
     blocks = max(2, int(np.ceil(np.log2(max(2, n / CELL)) / np.log2(2 * BLOCK))))
-    codes = _codes(rows, dim, blocks).persist()
+    codes = _codes(rows, dim, blocks, tables_for(dim, blocks, least)).persist()
     members = codes.select("id", "c").distinct()
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
     one = codes.drop("id").dropDuplicates(["c"])
     index = one.select(F.col("c").alias("b"), *[F.col(s).alias(f"t{s}") for s in sketch], F.explode("own").alias("cell"))
     query = one.select(F.col("c").alias("a"), *sketch, F.explode("probes").alias("cell"))
     apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"t{s}"))) for s in sketch), F.lit(0))
-    met = query.join(index.hint("merge"), (query["cell"] == index["cell"]) & (F.col("a") != F.col("b")) & (apart <= most_bits(least)))
+    met = query.join(index.hint("merge"), (query["cell"] == index["cell"]) & (F.col("a") != F.col("b")) & (apart <= most_bits(least, SLACK if blocks <= BLOCKS else WIDE_SLACK)))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().persist()
 
     # a fixed-size filter of the vectors that have candidates, so that the others are not shuffled

@@ -65,6 +65,19 @@ def test_similar_pairs_recall_copies_and_unusable(spark):
     assert similar.similar_pairs(df.where("chunk_id = 'c000'"), dim=64).count() == 0
 
 
+def test_similar_pairs_recall_with_three_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 512))
+    z = rng.normal(size=(300, 512))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.78 * x + np.sqrt(1 - 0.78**2) * z
+    df = spark.createDataFrame([(f"{s}{i:03d}", v.tolist()) for s, m in (("a", x), ("b", y)) for i, v in enumerate(m)], "chunk_id string, embedding array<float>")
+    got = {(r[0], r[1]) for r in similar.similar_pairs(df, expected=600_000).collect()}
+    assert len(got & {(f"a{i:03d}", f"b{i:03d}") for i in range(300)}) >= 0.9 * 300
+
+
 # ---- 2
 
 @pytest.mark.parametrize(
