@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 SHARED_OWNERS = 12
 #: Shortest value that is looked for elsewhere, and shortest anchor.
 RESCAN_LENGTH, ANCHOR_LENGTH = 12, 8
+#: Places of the further pieces of a value.
+MORE = "array<struct<start:int,end:int>>"
 
 _NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|secret|access|signing|encryption|private|auth|service|client|master|account|shared|session|webhook|license)[_\-. ]?key(?:[_\-. ]?id)?)"
 _VALUE = r"""(?P<q>"{3}|'{3}|["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\n])*?)(?P=q)"""
@@ -111,14 +113,16 @@ def _plausible(v: str, quoted: bool, name: str) -> bool:
 HINT = re.compile(r"(?i)pass|pwd|secret|token|credential|[a-z]key|[_\-. ]key|://[^\s/@]*:[^\s/]*@|bearer|basic[ \t]|-----BEGIN|AKIA|ASIA|xox|glpat|gh[opsur]_|sk_live|eyJ|(?:-u|--user)[ =]")
 
 
-def literals(text: str) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, value, kind, weak) of the literal credentials in a text, in order, without overlaps.
+def literals(text: str) -> list[tuple[int, int, str, str, bool, list[tuple[int, int]]]]:
+    """(start, end, value, kind, weak, more) of the literal credentials in a text, in order, without overlaps.
 
-    weak: nothing but its place tells it from an ordinary word.
+    weak: nothing but its place tells it from an ordinary word. A value written in several pieces is the joined one; start and
+    end are those of its first piece, more has those of the others.
     """
     if not HINT.search(text):
         return []
     found: list[tuple[int, int, str, str]] = []
+    pieces: dict[tuple[int, int, str], list[tuple[int, int]]] = {}
     for m in PRIVATE.finditer(text):
         end = PRIVATE_END.search(text, m.end())
         stop = end.end() if end else len(text)
@@ -160,22 +164,33 @@ def literals(text: str) -> list[tuple[int, int, str, str, bool]]:
                 v = w
             else:
                 v = v.rstrip("\\")
-            whole, end = v, b + 1
-            while g == "quoted" and (more := PIECE.match(text, end)):  # a value written in several pieces
-                whole, end = whole + (more["v"] or more["w"]), more.end()
+            whole, more = _joined(text, v, b + len(m["q"])) if g == "quoted" else (v, [])
             if "://" in v or "PRIVATE KEY" in v or v.lower().startswith(("bearer ", "basic ")):
                 continue
             if _plausible(whole, g == "quoted", m["name"]):
-                found.append((a, a + len(v), v, "assigned"))
-    found.sort(key=lambda x: (x[0], -x[1]))
-    out: list[tuple[int, int, str, str, bool]] = []
+                form = next((f[3] for f in found if f[:2] == (a, a + len(v))), "assigned") if more else "assigned"
+                found.append((a, a + len(v), whole, form))
+                if more:
+                    pieces[a, a + len(v), whole] = more
+    found.sort(key=lambda x: (x[0], -x[1], x[:3] not in pieces))
+    out: list[tuple[int, int, str, str, bool, list[tuple[int, int]]]] = []
     for a, b, v, kind in found:
         if out and a < out[-1][1]:
             continue
-        out.append((a, b, v, kind, kind in ("assigned", "address", "command") and not is_strong(v)))
+        out.append((a, b, v, kind, kind in ("assigned", "address", "command") and not is_strong(v), pieces.get((a, b, v), [])))
     return out
 
 
+def _joined(text: str, first: str, end: int) -> tuple[str, list[tuple[int, int]]]:
+    """(a value whose first piece closes before end, with all its pieces; places of the others)."""
+    more = []
+    while m := PIECE.match(text, end):
+        g = "v" if m["v"] is not None else "w"
+        first, end = first + m[g], m.end()
+        more.append(m.span(g))
+    return first, more
+
+
 _RUN = re.compile(r"[A-Za-z0-9]+(?:[._\-]+[A-Za-z0-9]+)*")
 
 
@@ -198,26 +213,38 @@ def _rows(chunks: DataFrame) -> DataFrame:
 
 
 def candidates(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, file_path, line_no, start, end, value, kind, weak, anchor) of every literal credential by its place or form."""
+    """(chunk_id, file_path, line_no, start, end, value, kind, weak, more, sought) of every literal credential by its place or form.
+
+    more: places of further pieces. sought: what the second scan looks for, (text, rest, anchor); rest is what follows text in
+    further pieces.
+    """
+
+    def looked_for(v: str, first: str) -> list[tuple[str, str | None, str]]:
+        parts = [(v, None), *([(first, v[len(first) :])] if first != v and is_strong(first) else [])]
+        return [(t, r, k) for t, r in parts if (k := anchor_of(t))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out = [], []
             for i, t in enumerate(b.column("content")):
                 text = t.as_py()
-                for a, e, v, kind, weak in literals(text):
+                for a, e, v, kind, weak, more in literals(text):
                     at.append(i)
-                    out.append((line_of(text, a), a, e, v, kind, weak, "" if weak or kind == "private_key" else anchor_of(v)))
+                    out.append((line_of(text, a), a, e, v, kind, weak, more, [] if weak or kind == "private_key" else looked_for(v, text[a:e])))
             if out:
                 cols = list(zip(*out, strict=True))
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("file_path").take(take), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string()), strict=True))], names=["chunk_id", "file_path", "line_no", "start", "end", "value", "kind", "weak", "anchor"])
+                sought = pa.list_(pa.struct([("text", pa.string()), ("rest", pa.string()), ("anchor", pa.string())]))
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), sought)
+                yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("file_path").take(take), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["chunk_id", "file_path", "line_no", "start", "end", "value", "kind", "weak", "more", "sought"])
 
-    return _rows(chunks).mapInArrow(run, "chunk_id string, file_path string, line_no int, start int, end int, value string, kind string, weak boolean, anchor string")
+    return _rows(chunks).mapInArrow(run, f"chunk_id string, file_path string, line_no int, start int, end int, value string, kind string, weak boolean, more {MORE}, sought array<struct<text:string,rest:string,anchor:string>>")
 
 
 def find_secrets(chunks: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
-    """(chunk_id, line_no, start, end, value, kind): every place of a credential, one row per place.
+    """(chunk_id, line_no, start, end, value, kind, more): every place of a credential, one row per place.
+
+    A value written in several pieces is one row: start and end of the first piece, the others in more.
 
     Lines count from 1, positions are code points from 0. Null contents and ids give no row; rows of one chunk_id are one
     chunk. kind is private_key, address, authorization, command, issued, assigned, or rescan for places that only the
@@ -228,19 +255,25 @@ def find_secrets(chunks: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
     owners = found.select("value", "file_path").distinct().groupBy("value").agg(F.count("*").alias("owners"))
     common = owners.where(F.col("owners") > shared).select("value")
     places = found.join(common.withColumn("common", F.lit(True)), "value", "left").where(~(F.col("weak") & F.coalesce("common", F.lit(False)))).drop("common")
-    first = places.select("chunk_id", "line_no", "start", "end", "value", "kind").distinct()
+    first = places.select("chunk_id", "line_no", "start", "end", "value", "kind", "more").distinct()
 
-    confirmed = places.where("anchor <> ''").select("value", "anchor").distinct()
+    confirmed = places.select(F.explode("sought").alias("x")).select("x.*").distinct()
     again = _rescan(chunks, confirmed)
     extra = again.join(first.select("chunk_id", "start"), ["chunk_id", "start"], "left_anti")
     # places inside a place already found (a longer literal, a key block) are not new
-    spans = first.select("chunk_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    spans = _spans(first).select("chunk_id", F.col("start").alias("s"), F.col("end").alias("e"))
     extra = extra.join(spans, (extra["chunk_id"] == spans["chunk_id"]) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti")
-    return first.unionByName(extra.select("chunk_id", "line_no", "start", "end", "value", F.lit("rescan").alias("kind")))
+    return first.unionByName(extra.select("chunk_id", "line_no", "start", "end", "value", F.lit("rescan").alias("kind"), "more"))
+
+
+def _spans(places: DataFrame) -> DataFrame:
+    """(chunk_id, start, end, kind) of every piece at places."""
+    one = places.select("chunk_id", "start", "end", "kind")
+    return one.unionByName(places.select("chunk_id", F.explode("more").alias("m"), "kind").select("chunk_id", "m.start", "m.end", "kind")) if "more" in places.columns else one
 
 
 def _rescan(chunks: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """(chunk_id, line_no, start, end, value): places of confirmed values (value, anchor) in all contents."""
+    """(chunk_id, line_no, start, end, value, more): places of confirmed values (text, rest, anchor) in all contents."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,7 +287,7 @@ def _rescan(chunks: DataFrame, confirmed: DataFrame) -> DataFrame:
 
     held = _rows(chunks).mapInArrow(runs, "chunk_id string, anchor string")
     # few contents hold an anchor: what is joined back to the contents is those, with the values to look for
-    wanted = held.join(confirmed, "anchor").groupBy("chunk_id").agg(F.collect_set("value").alias("wanted"))
+    wanted = held.join(confirmed, "anchor").groupBy("chunk_id").agg(F.collect_set(F.struct("text", "rest")).alias("wanted"))
     rows = _rows(chunks).select("chunk_id", "content").join(wanted, "chunk_id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,7 +295,10 @@ def _rescan(chunks: DataFrame, confirmed: DataFrame) -> DataFrame:
 
         for pdf in batches:
             auto = ahocorasick.Automaton()
-            for v in {v for w in pdf["wanted"] for v in w}:
+            rests: dict[str, set[str]] = {}
+            for w in (x for w in pdf["wanted"] for x in w):
+                rests.setdefault(w["text"], set()).update([w["rest"]] if w["rest"] else [])
+            for v in rests:
                 auto.add_word(v, v)
             out = []
             if len(auto):
@@ -272,11 +308,14 @@ def _rescan(chunks: DataFrame, confirmed: DataFrame) -> DataFrame:
                     for end, v in auto.iter_long(text):
                         a = end - len(v) + 1
                         if a > last:
-                            out.append((cid, line_of(text, a), a, end + 1, v))
+                            whole, more = _joined(text, v, end + 2) if rests[v] and text[end + 1 : end + 2] in ("'", '"', "`") else (v, [])
+                            if whole[len(v) :] not in rests[v]:
+                                whole, more = v, []
+                            out.append((cid, line_of(text, a), a, end + 1, whole, [{"start": s, "end": e} for s, e in more]))
                             last = end
-            yield pd.DataFrame(out, columns=["chunk_id", "line_no", "start", "end", "value"])
+            yield pd.DataFrame(out, columns=["chunk_id", "line_no", "start", "end", "value", "more"])
 
-    return rows.mapInPandas(scan, "chunk_id string, line_no int, start int, end int, value string").distinct()
+    return rows.mapInPandas(scan, f"chunk_id string, line_no int, start int, end int, value string, more {MORE}").distinct()
 
 
 def redact(chunks: DataFrame, places: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
@@ -284,7 +323,7 @@ def redact(chunks: DataFrame, places: DataFrame, mask: str = "[REDACTED]") -> Da
 
     Contents without a place, and null contents, are passed on as they are. A private key keeps its first and last line.
     """
-    by_chunk = places.groupBy("chunk_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("places"))
+    by_chunk = _spans(places).groupBy("chunk_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("places"))
     base = chunks.drop("redacted_content", "places")
     joined = base.join(by_chunk, "chunk_id", "left")
 
