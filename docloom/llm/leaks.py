@@ -11,8 +11,8 @@ handled in blocks of items. Documents are read once and never shuffled.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,9 @@ BLOCK_CHARS = 8_000_000
 #: Steps of the walk per word.
 STRETCH = 3
 SAMPLES = 6
+#: The same where edits are allowed: fewer agree by more odds, and what agrees is verified.
+EDITED_SAMPLES = 4
+MOST_REPETITIONS = 200
 
 
 class Walk:
@@ -39,12 +42,13 @@ class Walk:
         # the walk is over a word's last copy after two thirds of the steps or so; samples come from the part before
         self.kept[rng.choice(2 * width, min(samples, 2 * width), replace=False)] = True
 
-    def keys(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def keys(self, tokens: np.ndarray, starts: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """held: words from each start on that are the window's, width at most."""
         at = np.zeros(len(starts), np.int64)
         key = np.zeros(len(starts), np.uint64)
         for j in range(int(np.flatnonzero(self.kept)[-1]) + 1):
-            done = at >= self.width
-            x = tokens[starts + np.minimum(at, self.width - 1)]
+            done = at >= held
+            x = tokens[starts + np.minimum(at, held - 1)]
             if self.kept[j]:
                 key = (key ^ np.where(done, np.uint64(0), x)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
                 key ^= key >> np.uint64(29)
@@ -52,8 +56,11 @@ class Walk:
         return mix64(key)
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Edit distance of each row of a to that of b (rows x words), in a band of most; most + 1 where it is larger."""
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int, open_end: bool = False) -> np.ndarray:
+    """Edit distance of each row of a to that of b (rows x words), in a band of most; most + 1 where it is larger.
+
+    open_end: to the nearest beginning of the row of b.
+    """
     n, wa = a.shape
     wb = b.shape[1]
     big = most + 1
@@ -66,13 +73,13 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         for j in range(lo, hi + 1):
             new[:, j] = np.minimum(np.minimum(row[:, j] + 1, new[:, j - 1] + 1), row[:, j - 1] + (a[:, i - 1] != b[:, j - 1]))
         row = new
-    return np.minimum(row[:, wb], big)
+    return np.minimum(row.min(1) if open_end else row[:, wb], big)
 
 
 class Probe:
     """The items' windows, indexed for every repetition of the walk."""
 
-    def __init__(self, ids: list[int], texts: list[str], width: int, repetitions: int, stride: int):
+    def __init__(self, ids: list[int], texts: list[str], width: int, repetitions: int, stride: int, samples: int = SAMPLES):
         self.width, self.ids = width, np.array(ids, np.int64)
         self.tokens, off = words(*codepoints(pa.array(texts, pa.string())), alnum_table())
         n = np.diff(off)
@@ -82,23 +89,30 @@ class Probe:
         self.starts = np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64)
         self.tables = []
         for r in range(repetitions):
-            walk = Walk(width, r)
-            keys = walk.keys(self.tokens, self.starts)
+            walk = Walk(width, r, samples)
+            keys = walk.keys(self.tokens, self.starts, np.full(len(self.starts), width))
             order = np.argsort(keys, kind="stable")
             bits = np.zeros(1 << 22, bool)
             bits[(keys >> np.uint64(42)).astype(np.int64)] = True
             self.tables.append((walk, keys[order], order, bits))
 
     def find(self, tokens: np.ndarray, off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, item window, edits) of the windows of documents that match a window of an item."""
-        count = np.maximum(np.diff(off) - self.width + 1, 0)
+        """(row, item, item window, edits) of the windows of documents that match a window of an item.
+
+        A window of a document begins at any word that least words follow, and ends where it is nearest to the item's: width - most
+        to width + most words on.
+        """
+        least = max(1, self.width - most)
+        count = np.maximum(np.diff(off) - least + 1, 0)
         row = np.repeat(np.arange(len(count)), count)
         starts = np.arange(len(row)) + np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
         found = []
         if len(self.starts) == 0 or len(starts) == 0:
             return tuple(np.empty(0, np.int64) for _ in range(4))  # type: ignore[return-value]
+        left = off[1:][row] - starts
+        held = np.minimum(left, self.width)
         for walk, keys, order, bits in self.tables:
-            mine = walk.keys(tokens, starts)
+            mine = walk.keys(tokens, starts, held)
             maybe = np.flatnonzero(bits[(mine >> np.uint64(42)).astype(np.int64)])
             lo = np.searchsorted(keys, mine[maybe], side="left")
             n = np.searchsorted(keys, mine[maybe], side="right") - lo
@@ -107,33 +121,59 @@ class Probe:
             found.append(w * len(self.starts) + q)
         pair = np.unique(np.concatenate(found))
         w, q = pair // len(self.starts), pair % len(self.starts)
-        span = np.arange(self.width)
+        span, reach = np.arange(self.width), np.arange(self.width + most)
         edits = np.empty(len(w), np.int16)
         for a in range(0, len(w), 100_000):
-            mine = tokens[starts[w[a : a + 100_000], None] + span]
+            v = w[a : a + 100_000]
+            # past the row's end stands a word that no item has
+            mine = np.where(reach < left[v, None], tokens[np.minimum(starts[v, None] + reach, len(tokens) - 1)], np.uint64(0))
             theirs = self.tokens[self.starts[q[a : a + 100_000], None] + span]
-            edits[a : a + 100_000] = (mine != theirs).any(1) if most == 0 else edit_distance(mine, theirs, most)
+            edits[a : a + 100_000] = (mine != theirs).any(1) if most == 0 else edit_distance(theirs, mine, most, open_end=True)
         ok = edits <= most
         return row[w[ok]], self.item[q[ok]], q[ok], edits[ok].astype(np.int64)
 
 
-def repetitions_for(width: int, most: int, recall: float, samples: int = SAMPLES) -> int:
-    """Repetitions after which a window at most edits away shares a key with the stated odds.
+@lru_cache
+def repetitions_for(width: int, most: int, recall: float, samples: int = EDITED_SAMPLES) -> int:
+    """Repetitions after which a window most edits away shares a key with the stated odds, MOST_REPETITIONS at most.
 
-    An edit changes few positions of the walk's output before both walks meet again; measured on random windows, a sampled
-    position differs with odds of about 1.6 edits / width. Equal windows always share their key.
+    Counted on random windows with words inserted, deleted or replaced, for the kind that needs most. Equal windows always
+    share their key.
     """
     if most == 0:
         return 1
-    same = max(1e-3, 1 - min(0.95, 1.6 * most / width)) ** samples
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, width: int = 12, most: int = 0, recall: float = 0.95, stride: int = 1) -> DataFrame:
+    rng = np.random.default_rng([width, most, samples])
+    n, held = 300, np.full(300, width)
+    base = rng.integers(1, 2**63 - 1, (n, width), dtype=np.uint64)
+    kinds = []
+    for kind in ("insert", "delete", "replace"):
+        rows = []
+        for r in base.tolist():
+            for _ in range(most):
+                at = int(rng.integers(0, len(r)))
+                r[at : at + (kind != "insert")] = [] if kind == "delete" else [int(rng.integers(1, 2**63 - 1))]
+            rows.append((r + rng.integers(1, 2**63 - 1, most).tolist())[:width])
+        kinds.append(np.array(rows, np.uint64).ravel())
+    met = np.zeros((len(kinds), n), bool)
+    starts = np.arange(n) * width
+    for r in range(MOST_REPETITIONS):
+        walk = Walk(width, r, samples)
+        own = walk.keys(base.ravel(), starts, held)
+        for k, rows in enumerate(kinds):
+            met[k] |= walk.keys(rows, starts, held) == own
+        if met.mean(1).min() >= recall:
+            return r + 1
+    return MOST_REPETITIONS
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, width: int = 12, most: int = 0, recall: float = 0.95, stride: int = 1, shorter: bool = False) -> DataFrame:
     """(doc_id, item_id, n_windows, least_edits) of each document that holds a window of width words of an item, with at most edits.
 
+    Edits are words inserted, deleted or replaced. shorter: an item of fewer than width words is one window of its own size, with
+    edits in proportion (most * words // width).
+
     n_windows: different windows of the item found. Words are maximal runs of letters and digits, lower-cased. Null texts
-    and texts of fewer than width words match nothing. Items of one id are separate texts of that item.
+    and, unless shorter, items of fewer than width words match nothing. Items of one id are separate texts of that item.
     """
     rows = [r for r in items.select("item_id", "text").where("item_id is not null and text is not null").collect()]
     rows.sort(key=lambda r: (r["item_id"], r["text"]))
@@ -145,31 +185,43 @@ def find_leaks(documents: DataFrame, items: DataFrame, width: int = 12, most: in
             blocks.append([])
             size = len(r["text"])
         blocks[-1].append(r)
-    parts = [_find_block(documents, b, width, most, repetitions_for(width, most, recall), stride) for b in blocks]
+    parts = [_find_block(documents, b, width, most, recall, stride, shorter) for b in blocks]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out if len(parts) == 1 else out.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.min("least_edits").alias("least_edits"))
 
 
-def _find_block(documents: DataFrame, items: list, width: int, most: int, repetitions: int, stride: int) -> DataFrame:
+def _probes(ids: list[int], texts: list[str], width: int, most: int, recall: float, stride: int, shorter: bool) -> list[tuple[Probe, int]]:
+    """The probe of windows of width words and, for shorter items, one of each size; with the edits each allows."""
+    out = [(Probe(ids, texts, width, repetitions_for(width, most, recall), stride, EDITED_SAMPLES if most else SAMPLES), most)]
+    size = np.diff(words(*codepoints(pa.array(texts, pa.string())), alnum_table())[1]) if shorter and texts else np.empty(0, np.int64)
+    for n in np.unique(size[(size > 0) & (size < width)]).tolist():
+        of, edits = np.flatnonzero(size == n), most * n // width
+        out.append((Probe([ids[i] for i in of], [texts[i] for i in of], n, repetitions_for(n, edits, recall), 1, EDITED_SAMPLES if edits else SAMPLES), edits))
+    return out
+
+
+def _find_block(documents: DataFrame, items: list, width: int, most: int, recall: float, stride: int, shorter: bool) -> DataFrame:
     spark: SparkSession = documents.sparkSession
     ids, texts = [r["item_id"] for r in items], [r["text"] for r in items]
     sent = spark.sparkContext.broadcast((ids, texts))  # at most BLOCK_CHARS
-    made: dict[str, Probe] = {}
+    made: dict[str, list[tuple[Probe, int]]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in scan_rows(batch, "text"):
-                if "probe" not in made:
-                    made["probe"] = Probe(*sent.value, width, repetitions, stride)
-                probe = made["probe"]
+                if "probes" not in made:
+                    made["probes"] = _probes(*sent.value, width, most, recall, stride, shorter)
                 tokens, off = words(*codepoints(part.column("text")), alnum_table())
-                row, item, window, edits = probe.find(tokens, off, most)
+                hits, n_windows = [], 0
+                for probe, allowed in made["probes"]:
+                    row, item, window, edits = probe.find(tokens, off, allowed)
+                    hits.append((row, probe.ids[item], window + n_windows, edits))
+                    n_windows += len(probe.starts)
+                row, which, window, edits = (np.concatenate(c) for c in zip(*hits, strict=True))
                 if not len(row):
                     continue
-                n_windows = len(probe.starts)
-                which = probe.ids[item]
                 _, first, inverse = np.unique(np.stack([row, which]), axis=1, return_index=True, return_inverse=True)
                 inverse = inverse.ravel()
                 least = np.full(len(first), np.iinfo(np.int64).max)

@@ -304,6 +304,29 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_edited_passages_of_any_start_and_kind_of_edit(spark, tmp_path):
+    from docloom.llm.queries import p7_edited
+
+    rnd = random.Random(9)
+    w = [f"v{i}" for i in range(2000)]
+    items = [(i, " ".join(rnd.choice(w) for _ in range(60))) for i in range(80)] + [(900, "six seven eight nine ten eleven twelve")]
+    docs, want = [(900, "x y six seven nine ten eleven twelve z"), (901, "six seven ten eleven")], []
+    for i, (item, t) in enumerate(items[:80]):
+        for kind in ("insert", "delete", "replace", "mixed"):
+            p = t.split()[(a := rnd.randrange(37)) : a + 24]
+            for _ in range(4):
+                k, at = rnd.choice(["insert", "delete", "replace"]) if kind == "mixed" else kind, rnd.randrange(1, len(p) - 1)
+                p[at : at + (k != "insert")] = [] if k == "delete" else [f"e{len(docs)}x{at}"]
+            docs.append((len(docs), " ".join(["pre"] * rnd.randrange(5) + p + ["post"] * rnd.randrange(5))))
+            want.append((docs[-1][0], item, kind))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in p7_edited(spark, str(tmp_path)).collect()}
+    by_kind = {k: sum((d, i) in got for d, i, x in want if x == k) / 80 for k in ("insert", "delete", "replace", "mixed")}
+    assert min(by_kind.values()) >= 0.85, by_kind
+    assert (900, 900) in got and (901, 900) not in got and got - {(900, 900)} <= {(d, i) for d, i, _ in want}
+
+
 def test_edit_distance_in_a_band():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 3, (200, 8)).astype(np.uint64)
