@@ -6,8 +6,8 @@
    placeholder and is suppressed.
 3. Confirmed: the rare literals with the structure of a secret.
 4. Re-scan: every content is scanned again for the confirmed values with an automaton. A value is only looked for in
-   contents that hold its anchor (its longest run of letters, digits and . _ - that has a digit), found by an equality join, so no table of all
-   secrets is sent around and an automaton is built per batch from what that batch may hold.
+   contents that hold its anchor (the hash of GRAM characters of it, wherever they stand), found by a fixed-size filter and an equality
+   join, so no table of all secrets is sent around and an automaton is built per batch from what that batch may hold.
 
 Redaction replaces the values, nothing else; quotes, line ends and positions of other code stay.
 """
@@ -21,15 +21,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm._text import codepoints, scan_rows, sliding_hash
+
 #: A weak literal in more files than this is a placeholder.
 SHARED_OWNERS = 12
-#: Shortest value that is looked for elsewhere, and shortest anchor.
-RESCAN_LENGTH, ANCHOR_LENGTH = 12, 8
+#: Length from which a value can be strong, and characters of an anchor: no confirmed value is shorter.
+RESCAN_LENGTH, GRAM = 12, 8
+#: The filter of anchors has 2 ** FILTER_BITS bits (8 MB); with many anchors it lets more through.
+FILTER_BITS = 26
 #: Places of the further pieces of a value.
 MORE = "array<struct<start:int,end:int>>"
 
@@ -191,17 +196,19 @@ def _joined(text: str, first: str, end: int) -> tuple[str, list[tuple[int, int]]
     return first, more
 
 
-_RUN = re.compile(r"[A-Za-z0-9]+(?:[._\-]+[A-Za-z0-9]+)*")
-
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every run of GRAM characters, offsets of the texts)."""
+    cp, off = codepoints(texts)
+    h, at = sliding_hash(cp.astype(np.uint64), off, GRAM)
+    return h.view(np.int64), at
 
-def anchors(text: str) -> set[str]:
-    """Runs of letters, digits and . _ - between them, long enough and with a digit: what a value is looked up by."""
-    return {w for w in _RUN.findall(text) if len(w) >= ANCHOR_LENGTH and not w.isalpha() and any(c.isdigit() for c in w)}
 
-
-def anchor_of(v: str) -> str:
-    """The longest anchor of a value; '' if it has none, then the value is only found by its place."""
-    return max(sorted(anchors(v)), key=len, default="")
+def anchor_of(v: str) -> int | None:
+    """The gram a value is looked up by, the one of most different characters and digits; None if v is shorter than a gram."""
+    if len(v) < GRAM:
+        return None
+    best = max(range(len(v) - GRAM + 1), key=lambda i: len(set(v[i : i + GRAM])) + sum(c.isdigit() for c in v[i : i + GRAM]))
+    return int(grams(pa.array([v[best : best + GRAM]]))[0][0])
 
 
 def line_of(text: str, at: int) -> int:
@@ -219,9 +226,9 @@ def candidates(chunks: DataFrame) -> DataFrame:
     further pieces.
     """
 
-    def looked_for(v: str, first: str) -> list[tuple[str, str | None, str]]:
+    def looked_for(v: str, first: str) -> list[tuple[str, str | None, int]]:
         parts = [(v, None), *([(first, v[len(first) :])] if first != v and is_strong(first) else [])]
-        return [(t, r, k) for t, r in parts if (k := anchor_of(t))]
+        return [(t, r, k) for t, r in parts if (k := anchor_of(t)) is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,11 +241,11 @@ def candidates(chunks: DataFrame) -> DataFrame:
             if out:
                 cols = list(zip(*out, strict=True))
                 take = pa.array(at)
-                sought = pa.list_(pa.struct([("text", pa.string()), ("rest", pa.string()), ("anchor", pa.string())]))
+                sought = pa.list_(pa.struct([("text", pa.string()), ("rest", pa.string()), ("anchor", pa.int64())]))
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), sought)
                 yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("file_path").take(take), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["chunk_id", "file_path", "line_no", "start", "end", "value", "kind", "weak", "more", "sought"])
 
-    return _rows(chunks).mapInArrow(run, f"chunk_id string, file_path string, line_no int, start int, end int, value string, kind string, weak boolean, more {MORE}, sought array<struct<text:string,rest:string,anchor:string>>")
+    return _rows(chunks).mapInArrow(run, f"chunk_id string, file_path string, line_no int, start int, end int, value string, kind string, weak boolean, more {MORE}, sought array<struct<text:string,rest:string,anchor:long>>")
 
 
 def find_secrets(chunks: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
@@ -275,17 +282,26 @@ def _spans(places: DataFrame) -> DataFrame:
 def _rescan(chunks: DataFrame, confirmed: DataFrame) -> DataFrame:
     """(chunk_id, line_no, start, end, value, more): places of confirmed values (text, rest, anchor) in all contents."""
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, words = [], []
-            for i, t in enumerate(b.column("content")):
-                w = anchors(t.as_py())
-                at += [i] * len(w)
-                words += w
-            if at:
-                yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(pa.array(at)), pa.array(words, pa.string())], names=["chunk_id", "anchor"])
-
-    held = _rows(chunks).mapInArrow(runs, "chunk_id string, anchor string")
+    bits = 1 << FILTER_BITS
+    place = F.pmod(F.col("anchor"), F.lit(bits))
+    words = confirmed.groupBy((place / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(anchor, 64) as int)))").alias("m")).toPandas()
+    maybe = np.zeros(bits // 64, np.int64)
+    maybe[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    sent_filter = chunks.sparkSession.sparkContext.broadcast(maybe)
+
+    def held_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent_filter.value
+        for batch in batches:
+            for b in scan_rows(batch, "content"):
+                h, off = grams(b.column("content"))
+                at = h & (bits - 1)
+                hit = np.flatnonzero((wanted[at >> 6] >> (at & 63)) & 1)
+                if len(hit):
+                    row = np.searchsorted(off, hit, side="right") - 1
+                    row, anchor = np.unique(np.stack([row, h[hit]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(pa.array(row)), pa.array(anchor)], names=["chunk_id", "anchor"])
+
+    held = _rows(chunks).mapInArrow(held_grams, "chunk_id string, anchor long")
     # few contents hold an anchor: what is joined back to the contents is those, with the values to look for
     wanted = held.join(confirmed, "anchor").groupBy("chunk_id").agg(F.collect_set(F.struct("text", "rest")).alias("wanted"))
     rows = _rows(chunks).select("chunk_id", "content").join(wanted, "chunk_id")
