@@ -114,8 +114,12 @@ def _plausible(v: str, quoted: bool, name: str) -> bool:
     return has_digit or bool(re.search(r"[!@#%^&*~+=?]", v)) and len(v) >= 8
 
 
-#: What any candidate's text must hold; contents without it are left at once.
-HINT = re.compile(r"(?i)pass|pwd|secret|token|credential|[a-z]key|[_\-. ]key|://[^\s/@]*:[^\s/]*@|bearer|basic[ \t]|-----BEGIN|AKIA|ASIA|xox|glpat|gh[opsur]_|sk_live|eyJ|(?:-u|--user)[ =]")
+#: What any candidate's text must hold, of each pattern above; contents without it are left at once.
+HINT = re.compile(
+    r"(?i)pass|pwd|secret|token|credential|[a-z]key|[_\-. ]key|://[^\s/@]*:[^\s/]*@|bearer|basic[ \t]|-----BEGIN|(?:-u|--user)[ =]"
+    r"|mysql|mariadb|redis-cli|docker|podman|mongo|ldap|smbclient"
+    r"|AKIA|ASIA|xox|gl(?:pat|ptt|dt)-|gh[opsur]_|github_pat_|[sr]k_live|npm_|AIza|SG\.|eyJ"
+)
 
 
 def literals(text: str) -> list[tuple[int, int, str, str, bool, list[tuple[int, int]]]]:
