@@ -27,9 +27,7 @@ BLOCK, BLOCKS, TABLES, PROBES = 32, 2, 6, 4
 AXES = 4
 SKETCH_WORDS = 4
 #: Standard deviations of the sketch's error that a pair at the least cosine may fall behind and still be verified.
-SLACK = 1.5
-#: The same where more than BLOCKS blocks are joined: half as many tables then reach RECALL.
-WIDE_SLACK = 2.3
+SLACK = 2.3
 #: Modelled odds that a pair at the least cosine is found where more than BLOCKS blocks are joined; the tables are raised to it.
 RECALL = 0.92
 #: Vectors in a cell that indexing aims at; with the number of vectors this sets the blocks joined in a table.
@@ -147,7 +145,7 @@ def tables_for(dim: int, blocks: int, least: float, pairs: int = 2000) -> int:
     a, b = hasher.cells(x), hasher.cells(y)
     met = float(((a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)).mean())
     apart = np.unpackbits((hasher.sketch(x) ^ hasher.sketch(y)).view(np.uint8), axis=1).sum(1)
-    need = min(0.99, RECALL / max(float((apart <= most_bits(least, WIDE_SLACK)).mean()), 1e-3))
+    need = min(0.99, RECALL / max(float((apart <= most_bits(least)).mean()), 1e-3))
     return max(TABLES, int(np.ceil(np.log(1 - need) / np.log(1 - min(max(met, 1e-3), 0.99)))))
 
 
@@ -226,7 +224,7 @@ def similar_pairs(vectors: DataFrame, id: str = "chunk_id", vector: str = "embed
     index = one.select(F.col("c").alias("b"), *[F.col(s).alias(f"t{s}") for s in sketch], F.explode("own").alias("cell"))
     query = one.select(F.col("c").alias("a"), *sketch, F.explode("probes").alias("cell"))
     apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"t{s}"))) for s in sketch), F.lit(0))
-    met = query.join(index.hint("merge"), (query["cell"] == index["cell"]) & (F.col("a") != F.col("b")) & (apart <= most_bits(least, SLACK if blocks <= BLOCKS else WIDE_SLACK)))
+    met = query.join(index.hint("merge"), (query["cell"] == index["cell"]) & (F.col("a") != F.col("b")) & (apart <= most_bits(least)))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().persist()
 
     # a fixed-size filter of the vectors that have candidates, so that the others are not shuffled

@@ -65,6 +65,17 @@ def test_similar_pairs_recall_copies_and_unusable(spark):
     assert similar.similar_pairs(df.where("chunk_id = 'c000'"), dim=64).count() == 0
 
 
+def test_sketch_keeps_pairs_at_the_least_cosine():
+    rng = np.random.default_rng(10)
+    x, z = rng.normal(size=(2, 2000, 512))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    h = similar.Hasher(512)
+    a, b = (h.sketch(v.astype(np.float32)) for v in (x, 0.75 * x + np.sqrt(1 - 0.75**2) * z))
+    assert (np.unpackbits((a ^ b).view(np.uint8), axis=1).sum(1) <= similar.most_bits(0.75)).mean() >= 0.97
+
+
 def test_similar_pairs_recall_with_three_blocks(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 512))
