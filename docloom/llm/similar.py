@@ -2,9 +2,14 @@
 
 Cross-polytope hashing: unit vectors are turned by fast Hadamard pseudo-rotations (three rounds of random signs and a
 Hadamard transform, here as two small matrix products); blocks of coordinates of the turned vector are hashed to the
-nearest signed axis. A table joins BLOCKS blocks; a vector is indexed in its own cell of each table and looks into the PROBES
-likeliest cells (multiprobe), so near misses need no further tables. What meets in a cell is compared by a sketch of sign
-bits inside the join, and pairs that may reach the least cosine are verified exactly with the vectors themselves.
+nearest signed axis. A table joins blocks; a vector stands in its PROBES likeliest cells of each table (multiprobe), and two
+vectors are compared wherever any cell of one is a cell of the other, which finds far more for each row sent than looking
+from the own cell only. What meets is compared by a sketch of sign bits, and pairs that may reach the least cosine are
+verified exactly with the vectors themselves.
+
+A cell of more than SMALL rows is divided by one more block, whose likeliest axes travel with the row: two rows are then
+compared if the nearest axis of one is among the NEAR likeliest of the other. A cell of more than HOT rows is dealt out to
+several tasks, so that every two of its rows still meet in one of them.
 
 Vectors travel once per group of mutual candidates, not once per pair: the pair (a, b) is verified in the block of a's
 smallest candidate, and blocks are split by a's hash where they grow large. Equal vectors are one class throughout.
@@ -21,21 +26,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 512
-#: Coordinates in a hash block (64 cells of signed axes), blocks joined in a table, tables, cells looked into per table.
-BLOCK, BLOCKS, TABLES, PROBES = 32, 2, 6, 4
-#: Axes per block that probing considers.
-AXES = 4
-SKETCH_WORDS = 4
+#: Coordinates in a hash block (64 cells of signed axes).
+BLOCK = 32
+#: Cells of a table that a vector stands in, by the blocks joined; axes per block considered for them.
+PROBES, AXES = {2: 6, 3: 12, 4: 24}, 6
+#: Likeliest axes of the further block that travel with a row.
+NEAR = 8
+SKETCH_WORDS = 8
 #: Standard deviations of the sketch's error that a pair at the least cosine may fall behind and still be verified.
 SLACK = 2.3
-#: Modelled odds that a pair at the least cosine is found where more than BLOCKS blocks are joined; the tables are raised to it.
-RECALL = 0.92
-#: Vectors in a cell that indexing aims at; with the number of vectors this sets the blocks joined in a table.
-CELL = 128
+#: The same for the first two words of the sketch, which are compared first.
+FIRST_SLACK = 3.5
+#: Modelled odds that a pair at the least cosine is found; the tables are set by it.
+RECALL = 0.94
+#: Rows in a cell from which it is divided by a further block, that indexing aims at most at, and that a task takes.
+SMALL, CELL, HOT = 4096, 65_536, 262_144
+#: Cells of more than HOT rows that are sent to all tasks; beyond it they are joined.
+HOT_CELLS = 200_000
 #: The filter of vectors with candidates has at most 2 ** FILTER_BITS bits (8 MB); beyond about 8 M vectors it lets more through.
 FILTER_BITS = 26
 #: Pairs verified at once in a task, and pairs after which a block is split.
 VERIFY, BLOCK_PAIRS = 20_000, 50_000
+#: Rows compared at once.
+TILE = 64, 2048
 
 
 def _hadamard(n: int) -> np.ndarray:
@@ -64,7 +77,7 @@ class Rotation:
 
 
 def usable(arr: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows whose vector has dim entries, none null, NaN or infinite, and is not all zero; those vectors at unit length)."""
+    """(rows whose vector has dim entries, none null, NaN or infinite, and is not all zero; those vectors)."""
     size = np.asarray(arr.value_lengths().fill_null(-1))
     rows = np.flatnonzero(size == dim)
     if not len(rows):
@@ -75,7 +88,11 @@ def usable(arr: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     ok = np.isfinite(norm) & (norm > 0)
     if flat.null_count:
         ok &= ~np.asarray(flat.is_null()).reshape(len(rows), dim).any(1)
-    return rows[ok], (x[ok] / norm[ok, None]).astype(np.float32)
+    return rows[ok], x[ok]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))[:, None]).astype(np.float32)
 
 
 def class_of(x: np.ndarray) -> np.ndarray:
@@ -89,29 +106,31 @@ def class_of(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    def __init__(self, dim: int, blocks: int = BLOCKS, tables: int = TABLES, probes: int = PROBES):
-        self.blocks, self.tables, self.probes = blocks, tables, probes
+    def __init__(self, dim: int, blocks: int = 2, tables: int = 4, probes: int | None = None):
+        self.blocks, self.tables, self.probes = blocks, tables, probes or PROBES[blocks]
         per = (1 << max(5, (dim - 1).bit_length())) // BLOCK
-        self.rotations = [Rotation(dim, s) for s in range(-(-tables * blocks // per))]
-        self.sketcher = Rotation(dim, 99)
+        self.rotations = [Rotation(dim, s) for s in range(-(-tables * (blocks + 1) // per))]
+        self.sketchers = [Rotation(dim, 99)]
+        while sum(r.dim for r in self.sketchers) < SKETCH_WORDS * 64:
+            self.sketchers.append(Rotation(dim, 100 + len(self.sketchers)))
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
-        y = self.sketcher(x)
-        need = SKETCH_WORDS * 64
-        while y.shape[1] < need:
-            y = np.concatenate([y, Rotation(x.shape[1], 100 + y.shape[1])(x)], axis=1)
-        return np.packbits(y[:, :need] > 0, axis=1, bitorder="little").view(np.int64)
-
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        """(rows, tables, probes) cell numbers; the first probe is the vector's own cell."""
-        y = np.concatenate([r(x) for r in self.rotations], axis=1)[:, : self.tables * self.blocks * BLOCK]
-        y = y.reshape(len(x), self.tables, self.blocks, BLOCK)
+        y = np.concatenate([r(x) for r in self.sketchers], axis=1)[:, : SKETCH_WORDS * 64]
+        return np.packbits(y > 0, axis=1, bitorder="little").view(np.int64)
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """((rows, tables, probes) cell numbers, likeliest first; (rows, tables, NEAR) axes of the further block)."""
+        y = np.concatenate([r(x) for r in self.rotations], axis=1)[:, : self.tables * (self.blocks + 1) * BLOCK]
+        y = y.reshape(len(x), self.tables, self.blocks + 1, BLOCK)
         size = np.abs(y)
-        axes = np.argpartition(-size, AXES - 1, axis=3)[..., :AXES]
+        most = max(AXES, NEAR)
+        axes = np.argpartition(-size, most - 1, axis=3)[..., :most]
         top = np.take_along_axis(size, axes, 3)
         order = np.argsort(-top, axis=3, kind="stable")
         axes, top = np.take_along_axis(axes, order, 3), np.take_along_axis(top, order, 3)
-        code = axes * 2 + (np.take_along_axis(y, axes, 3) < 0)
+        codes = axes * 2 + (np.take_along_axis(y, axes, 3) < 0)
+        near = codes[:, :, -1, :NEAR].astype(np.uint8)
+        code, top = codes[..., :AXES], top[..., :AXES]
         lost = (top[..., :1] - top) ** 2  # how far an axis is from being the nearest
         cell, cost = code[:, :, 0, :].astype(np.int64), lost[:, :, 0, :]
         for b in range(1, self.blocks):
@@ -121,50 +140,202 @@ class Hasher:
                 best = np.argsort(cost, axis=2, kind="stable")[..., : 4 * self.probes]
                 cell, cost = np.take_along_axis(cell, best, 2), np.take_along_axis(cost, best, 2)
         best = np.argsort(cost, axis=2, kind="stable")[..., : self.probes]
-        return np.take_along_axis(cell, best, 2) * self.tables + np.arange(self.tables)[None, :, None]
+        return np.take_along_axis(cell, best, 2) * self.tables + np.arange(self.tables)[None, :, None], near
 
 
-def most_bits(least_cosine: float, slack: float = SLACK) -> int:
-    n = SKETCH_WORDS * 64
+def most_bits(least_cosine: float, slack: float = SLACK, words: int = SKETCH_WORDS) -> int:
+    n = words * 64
     p = float(np.arccos(least_cosine) / np.pi)
     return int(n * p + slack * np.sqrt(n * p * (1 - p)))
 
 
+def blocks_for(n: int) -> int:
+    """Blocks joined in a table, so that a cell has CELL rows at most on average; from 45 million vectors three."""
+    return next((b for b, p in PROBES.items() if n * p <= CELL * (2 * BLOCK) ** b), max(PROBES))
+
+
 @lru_cache
 def tables_for(dim: int, blocks: int, least: float, pairs: int = 2000) -> int:
-    """Tables that find a pair at the least cosine with odds of RECALL, by hashing random pairs at that cosine."""
-    if blocks <= BLOCKS:
-        return TABLES
+    """Tables that find a pair at the least cosine with odds of RECALL at any size of cells, by hashing random pairs at that
+    cosine: a table finds it if the two share a cell and the further block does not part them."""
     rng = np.random.default_rng([dim, blocks])
     x, z = rng.normal(size=(2, pairs, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= np.einsum("ij,ij->i", x, z)[:, None] * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     x, y = x.astype(np.float32), (least * x + np.sqrt(1 - least * least) * z).astype(np.float32)
-    hasher = Hasher(dim, blocks, 8)
-    a, b = hasher.cells(x), hasher.cells(y)
-    met = float(((a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)).mean())
-    apart = np.unpackbits((hasher.sketch(x) ^ hasher.sketch(y)).view(np.uint8), axis=1).sum(1)
+    hasher = Hasher(dim, blocks, 6)
+    (a, near_a), (b, near_b) = hasher.cells(x), hasher.cells(y)
+    met = np.zeros(a.shape[:2], bool)
+    for k in range(a.shape[2]):
+        met |= (b == a[:, :, k : k + 1]).any(2)
+    met &= (near_b == near_a[:, :, :1]).any(2) | (near_a == near_b[:, :, :1]).any(2)
+    apart = np.bitwise_count((hasher.sketch(x) ^ hasher.sketch(y)).view(np.uint64)).sum(1)
     need = min(0.99, RECALL / max(float((apart <= most_bits(least)).mean()), 1e-3))
-    return max(TABLES, int(np.ceil(np.log(1 - need) / np.log(1 - min(max(met, 1e-3), 0.99)))))
+    return max(2, int(np.ceil(np.log(1 - need) / np.log(1 - min(max(float(met.mean()), 1e-3), 0.99)))))
 
 
 def _codes(vectors: DataFrame, dim: int, blocks: int, tables: int) -> DataFrame:
+    """(id, c, s0.., cells, near) of every usable vector; cells is null for a vector that its task has seen before."""
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dim, blocks, tables)
+        seen = np.empty(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 rows, x = usable(b.column("v"), dim)
-                if len(rows):
-                    s, c = hasher.sketch(x), hasher.cells(x)
-                    own = c[:, :, 0]
-                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel())) for m in (own.reshape(len(x), -1), c.reshape(len(x), -1))]
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), pa.array(class_of(x)), *(pa.array(s[:, i]) for i in range(SKETCH_WORDS)), *lists], names=["id", "c", *(f"s{i}" for i in range(SKETCH_WORDS)), "own", "probes"])
+                if not len(rows):
+                    continue
+                x = unit(x)
+                c = class_of(x)
+                new = np.zeros(len(c), bool)
+                new[np.unique(c, return_index=True)[1]] = True
+                new &= ~np.isin(c, seen)
+                seen = np.concatenate([seen, c[new]])
+                s, (cells, near) = hasher.sketch(x[new]), hasher.cells(x[new])
+                words = [_spread(s[:, i], new) for i in range(SKETCH_WORDS)]
+                lists = [_lists(m, new) for m in (cells.reshape(len(s), -1), near.reshape(len(s), -1).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), pa.array(c), *words, *lists], names=["id", "c", *(f"s{i}" for i in range(SKETCH_WORDS)), "cells", "near"])
+
+    return vectors.mapInArrow(run, f"id {kind}, c long, {', '.join(f's{i} long' for i in range(SKETCH_WORDS))}, cells array<long>, near array<long>")
+
+
+def _spread(values: np.ndarray, where: np.ndarray) -> pa.Array:
+    out = np.zeros(len(where), np.int64)
+    out[where] = values
+    return pa.array(out, mask=~where)
+
+
+def _lists(m: np.ndarray, where: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(where * m.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(m.ravel()), mask=pa.array(~where))
+
+
+def by_group(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
+    """Tables of least rows or more of batches sorted by column, none of which ends within a group."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            t = pa.Table.from_batches(held)
+            key = t.column(column).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            if cut:
+                yield t.slice(0, cut)
+            held, n = t.slice(cut).to_batches(), t.num_rows - cut
+            least = max(least, 2 * n) if not cut else least
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _near_in_sketch(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the rows of x and y whose sketches are near enough; i < j if both are the same rows."""
+    first, every = most_bits(least, FIRST_SLACK, 2), most_bits(least)
+    out = []
+    for i in range(0, len(x), TILE[0]):
+        a = x[i : i + TILE[0]]
+        for j in range(i if same else 0, len(y), TILE[1]):
+            b = y[j : j + TILE[1]]
+            d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+            d += np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+            p, q = np.nonzero(d <= first)
+            if same:
+                later = p + i < q + j
+                p, q = p[later], q[later]
+            ok = np.bitwise_count(a[p] ^ b[q]).sum(1, dtype=np.int64) <= every
+            out.append((p[ok] + i, q[ok] + j))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _divided(x: np.ndarray, y: np.ndarray, near_x: np.ndarray, near_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same over large cells, where the nearest axis of one is among the likeliest of the other; i and j in any order."""
+    out = []
+    for axis in range(2 * BLOCK):
+        for one, other in ((near_x[:, :1], near_y), (near_x, near_y[:, :1])):
+            i, j = (np.flatnonzero((m == axis).any(1)) for m in (one, other))
+            if len(i) and len(j):
+                p, q = _near_in_sketch(x[i], y[j], least, False)
+                out.append((i[p], j[q]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _meet(codes: DataFrame, least: float, small: int, hot: int) -> DataFrame:
+    """(a, b), a < b, distinct: classes that share a cell and whose sketches are near."""
+    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
+    indexed = codes.where("cells is not null")
+    per = F.size("cells") / F.size("near")
+    rows = indexed.select("c", *sketch, "near", per.cast("int").alias("per"), F.posexplode("cells").alias("place", "cell")).select("c", *sketch, F.get("near", F.floor(F.col("place") / F.col("per")).cast("int")).alias("near"), "cell")
+    full = indexed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("cell", F.ceil(F.col("n") / hot).cast("int").alias("parts")).persist()
+    n_full = full.count()
+    if n_full:
+        # a row of a full cell belongs to one of its parts and goes to the task of every pair of parts with its own
+        rows = rows.join(F.broadcast(full) if n_full <= HOT_CELLS else full, "cell", "left").withColumn("part", F.pmod("c", F.coalesce("parts", F.lit(1))).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        low, high = F.least("part", "other"), F.greatest("part", "other")
+        side = F.when(low == high, 0).when(F.col("part") == low, 1).otherwise(2)
+        task = F.when(F.col("parts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", low, high))
+    else:
+        side, task = F.lit(0), F.col("cell")
+    rows = rows.select(F.shiftleft(task, 2).bitwiseOR(side.cast("long")).alias("task"), "c", "near", *sketch)
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        task, c, near = (t.column(n).to_numpy() for n in ("task", "c", "near"))
+        s = np.stack([t.column(n).to_numpy() for n in sketch], 1).view(np.uint64)
+        near = np.ascontiguousarray(near).view(np.uint8).reshape(len(c), NEAR)
+        edge = np.flatnonzero(np.concatenate([[True], task[1:] >> 2 != task[:-1] >> 2, [True]]))
+        found = []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if hi - lo < 2:
+                continue
+            one = lo + np.unique(c[lo:hi], return_index=True)[1]
+            side = task[one] & 3
+            x, y = (one, one) if not side.any() else (one[side == 1], one[side == 2])
+            if len(x) * len(y) <= small * small:
+                i, j = _near_in_sketch(s[x], s[y], least, x is y)
+            else:
+                i, j = _divided(s[x], s[y], near[x], near[y], least)
+            found.append(np.stack([c[x[i]], c[y[j]]], 1))
+        p = np.concatenate([*found, np.empty((0, 2), np.int64)])
+        p.sort(axis=1)
+        p = p[p[:, 0] != p[:, 1]]
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        p = p[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])] if len(p) else p
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(_cells_only(batches), "cell", 200_000):
+            yield work(t)
+
+    # all sides of a task stand together
+    placed = rows.withColumn("cell", F.shiftright("task", 2)).repartition("cell").sortWithinPartitions("cell").drop("cell")
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
+def _cells_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.append_column("cell", pa.array(b.column("task").to_numpy() >> 2))
+
 
-    return vectors.mapInArrow(run, f"id {kind}, c long, {', '.join(f's{i} long' for i in range(SKETCH_WORDS))}, own array<long>, probes array<long>")
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Each row's numbers, byte by byte (all first bytes, all second ones, ...), compressed without loss: the low bytes of
+    numbers that were once shorter are zero, and high bytes repeat."""
+    codec = pa.Codec("zstd", compression_level=1)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1)).reshape(len(x), -1)
+    return [codec.compress(r, asbytes=True) for r in planes]
+
+
+def _unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    codec = pa.Codec("zstd")
+    planes = np.frombuffer(b"".join(codec.decompress(r, decompressed_size=4 * dim, asbytes=True) for r in rows), np.uint8).reshape(-1, 4, dim)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32).reshape(-1, dim)
 
 
 def _verify(rows: DataFrame, dim: int, least: float) -> DataFrame:
@@ -174,7 +345,7 @@ def _verify(rows: DataFrame, dim: int, least: float) -> DataFrame:
         block, a = t.column("block").to_numpy(), t.column("a").to_numpy()
         v = t.column("v").combine_chunks()
         has = np.asarray(v.is_valid())
-        x = np.frombuffer(b"".join(v.filter(pa.array(has)).to_pylist()), np.float32).reshape(-1, dim)
+        x = unit(_unpacked(v.filter(pa.array(has)).to_pylist(), dim))
         b = t.column("b").filter(pa.array(~has)).to_numpy()
         group = np.unique(block, return_inverse=True)[1]
         order = np.lexsort((a[has], group[has]))
@@ -190,42 +361,24 @@ def _verify(rows: DataFrame, dim: int, least: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a[~has][ok]), pa.array(b[ok]), pa.array(np.round(cos[ok], 7))], names=["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= VERIFY:
-                t = pa.Table.from_batches(held)
-                block = t.column("block").to_numpy()
-                cut = int(np.searchsorted(block, block[-1]))  # the last block may go on
-                if cut:
-                    yield work(t.slice(0, cut))
-                held, n = t.slice(cut).to_batches(), t.num_rows - cut
-        if n:
-            yield work(pa.Table.from_batches(held))
+        for t in by_group(batches, "block", VERIFY):
+            yield work(t)
 
     return rows.mapInArrow(run, "a long, b long, cosine double")
 
 
-def similar_pairs(vectors: DataFrame, id: str = "chunk_id", vector: str = "embedding", dim: int = DIM, k: int = 10, least: float = 0.75, expected: int | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, id: str = "chunk_id", vector: str = "embedding", dim: int = DIM, k: int = 10, least: float = 0.75, expected: int | None = None, small: int = SMALL, hot: int = HOT) -> DataFrame:
     """(id_1, id_2, cosine): pairs of which one is among the other's k most similar vectors with at least the least cosine.
 
     Ties: smaller id first. A vector is usable if it has dim entries, none null or NaN, and is not all zero; others, and null
     ids, take no part. Rows of one id are one vector. expected: the number of vectors, counted if not given.
     """
     rows = vectors.select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null")
-    n = expected or rows.count()
-    blocks = max(2, int(np.ceil(np.log2(max(2, n / CELL)) / np.log2(2 * BLOCK))))
+    n = expected or vectors.count()
+    blocks = blocks_for(n)
     codes = _codes(rows, dim, blocks, tables_for(dim, blocks, least)).persist()
     members = codes.select("id", "c").distinct()
-    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
-    one = codes.drop("id").dropDuplicates(["c"])
-    index = one.select(F.col("c").alias("b"), *[F.col(s).alias(f"t{s}") for s in sketch], F.explode("own").alias("cell"))
-    query = one.select(F.col("c").alias("a"), *sketch, F.explode("probes").alias("cell"))
-    apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"t{s}"))) for s in sketch), F.lit(0))
-    met = query.join(index.hint("merge"), (query["cell"] == index["cell"]) & (F.col("a") != F.col("b")) & (apart <= most_bits(least)))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().persist()
+    pairs = _meet(codes, least, small, hot).persist()
 
     # a fixed-size filter of the vectors that have candidates, so that the others are not shuffled
     bits = 1 << min(FILTER_BITS, max(16, int(8 * n).bit_length()))
@@ -244,17 +397,22 @@ def similar_pairs(vectors: DataFrame, id: str = "chunk_id", vector: str = "embed
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent_filter.value
+        seen = np.empty(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 ok, x = usable(batch.slice(at, 2048).column("v"), dim)
                 if len(ok):
-                    c = class_of(x)
+                    c = class_of(unit(x))
                     place = c % bits
                     keep = (held[place >> 6] >> (place & 63)) & 1 == 1
-                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array([r.tobytes() for r in x[keep]], pa.binary())], names=["a", "v"])
-
-    unit = rows.select("v").mapInArrow(packed, "a long, v binary")
-    sent = needed.join(unit, "a").select("block", "a", F.lit(None).cast("long").alias("b"), "v")
+                    first = np.zeros(len(c), bool)
+                    first[np.unique(c, return_index=True)[1]] = True
+                    keep &= first & ~np.isin(c, seen)  # a task sends one of equal vectors
+                    seen = np.concatenate([seen, c[keep]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array(_packed(x[keep]), pa.binary())], names=["a", "v"])
+
+    held = rows.select("v").mapInArrow(packed, "a long, v binary")
+    sent = needed.join(held, "a").select("block", "a", F.lit(None).cast("long").alias("b"), "v")
     both = sent.unionByName(placed.select("block", "a", "b", F.lit(None).cast("binary").alias("v")))
     cos = _verify(both.repartition("block").sortWithinPartitions("block"), dim, least)
 

@@ -73,20 +73,28 @@ def test_sketch_keeps_pairs_at_the_least_cosine():
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     h = similar.Hasher(512)
     a, b = (h.sketch(v.astype(np.float32)) for v in (x, 0.75 * x + np.sqrt(1 - 0.75**2) * z))
-    assert (np.unpackbits((a ^ b).view(np.uint8), axis=1).sum(1) <= similar.most_bits(0.75)).mean() >= 0.97
+    assert (np.bitwise_count((a ^ b).view(np.uint64)).sum(1) <= similar.most_bits(0.75)).mean() >= 0.97
 
 
-def test_similar_pairs_recall_with_three_blocks(spark):
+@pytest.mark.parametrize("how", [{}, {"small": 1}, {"expected": 60_000_000}, {"expected": 60_000_000, "small": 1}, {"hot": 20}, {"hot": 20, "small": 1}, {"expected": 2_000_000_000}])
+def test_similar_pairs_recall_near_the_least_cosine_at_every_size(spark, how):
+    """As with few vectors, with every cell divided, with the blocks of 60 million and two billion, and with full cells dealt out."""
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 512))
     z = rng.normal(size=(300, 512))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.78 * x + np.sqrt(1 - 0.78**2) * z
-    df = spark.createDataFrame([(f"{s}{i:03d}", v.tolist()) for s, m in (("a", x), ("b", y)) for i, v in enumerate(m)], "chunk_id string, embedding array<float>")
-    got = {(r[0], r[1]) for r in similar.similar_pairs(df, expected=600_000).collect()}
-    assert len(got & {(f"a{i:03d}", f"b{i:03d}") for i in range(300)}) >= 0.9 * 300
+    y = 0.76 * x + np.sqrt(1 - 0.76**2) * z
+    crowd = x[0] + 0.02 * rng.normal(size=(60, 512))  # one dense cell
+    df = spark.createDataFrame([(f"{s}{i:03d}", v.tolist()) for s, m in (("a", x), ("b", y), ("c", crowd)) for i, v in enumerate(m)], "chunk_id string, embedding array<float>")
+    got = {(r[0], r[1]) for r in similar.similar_pairs(df, **how).collect()}
+    assert len(got & {(f"a{i:03d}", f"b{i:03d}") for i in range(1, 300)}) >= 0.9 * 299
+    every = np.concatenate([x, y, crowd]).astype(np.float32)
+    every /= np.linalg.norm(every, axis=1, keepdims=True)
+    want = brute_similar([f"{s}{i:03d}" for s, m in (("a", x), ("b", y), ("c", crowd)) for i in range(len(m))], every, 10, 0.75)
+    crowded = {p for p in want if p[0][0] == p[1][0] == "c"}
+    assert len(got & crowded) >= 0.98 * len(crowded) and len(got - want) <= 0.05 * len(want)
 
 
 # ---- 2
