@@ -1,77 +1,55 @@
 """How distinctive a term is of a record (problem 3).
 
-The marginal counts of terms come from one group-by (pre-aggregated per slice of records), and a join brings them to the
-joint counts of term and record. Two scores use the same counts:
+Joint counts of term and record come from one group-by, the marginal counts of terms from another, and a join brings the two
+together; all of it is built-in expressions. Two scores use the same counts:
 
 * ppmi: positive pointwise mutual information, ln(tf * S / (n_term * n_record ** 0.75)) with S the sum of all
   n_record ** 0.75: the record's count is smoothed by a fractional exponent;
 * tfidf: tf * ln((N + 1) / (df + 1)).
 
-The join has two parts. The most frequent terms (FREQUENT at most, so their table is bounded) are joined map-side, where
-the records are scanned: a term that a third of all records hold is never shuffled, and of a record's frequent terms only
-its k best go on. The postings of all other terms are shuffled by term; none of those is hot.
+Records are placed once by their key; joint counts and the ranking within a record need no further shuffle. A term that a
+third of all records hold would be a hot key of the join, so the counts of the HOT most frequent terms (a table of bounded
+size) are sent to the tasks and only the postings of the other terms are shuffled by term; the arithmetic is the same.
 """
 
 from __future__ import annotations
 
-import heapq
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm._graph import cut_lineage
+
 #: Exponent of the records' counts.
 SMOOTHING = 0.75
-#: Terms joined map-side: the most frequent ones, at most so many.
-FREQUENT = 65_536
-#: Distinct terms counted in a task before its partial counts are handed on.
-PARTIAL = 200_000
+#: Terms whose counts are sent to the tasks: the most frequent ones, at most so many of at most LONG characters.
+HOT, LONG = 65_536, 64
 #: Maximal runs of [a-z0-9_] with two characters and a letter.
-TERM = re.compile(r"(?=[0-9_]*[a-z])[a-z0-9_]{2,}")
+TERM = "(?=[0-9_]*[a-z])[a-z0-9_]{2,}"
 
 
-def terms_of(value) -> list[str]:
+def terms_of(value: Column, is_text: bool) -> Column:
     """Terms of a text, or the trimmed, lower-cased entries of a list (blank and null entries are none)."""
-    if value is None:
-        return []
-    if isinstance(value, str):
-        return TERM.findall(value.lower())
-    return [t for t in (x.strip().lower() for x in value if x is not None) if t]
-
-
-def marginals(records: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
-    """(term, df, n_term) of records (record, value); the row with a null term has N and the sum of smoothed record counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        n_term: Counter = Counter()
-        n, smooth = 0, 0.0
-
-        def out() -> pa.RecordBatch:
-            names = list(df)
-            return pa.RecordBatch.from_arrays([pa.array([*names, None], pa.string()), pa.array([*df.values(), n], pa.int64()), pa.array([*(float(n_term[t]) for t in names), smooth], pa.float64())], names=["term", "df", "n_term"])
-
-        for b in batches:
-            for v in b.column("value"):
-                found = terms_of(v.as_py())
-                n += 1
-                if found:
-                    smooth += len(found) ** smoothing
-                    df.update(set(found))
-                    n_term.update(found)
-            if len(df) > PARTIAL:
-                yield out()
-                df, n_term, n, smooth = Counter(), Counter(), 0, 0.0
-        yield out()
-
-    return records.select("value").mapInArrow(run, "term string, df long, n_term double").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_term").alias("n_term"))
-
-
-def best_terms(records: DataFrame, k: int, score: str = "tfidf", min_df: int = 2, smoothing: float = SMOOTHING, frequent: int = FREQUENT) -> DataFrame:
+    if is_text:
+        return F.regexp_extract_all(F.lower(value), F.lit(TERM), F.lit(0))
+    return F.filter(F.transform(value, lambda x: F.lower(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), lambda x: x != "")
+
+
+def joint_counts(records: DataFrame) -> DataFrame:
+    """(record, n_record, term, tf) of records (record, value); each record has a row more, whose term is null."""
+    found = records.select("record", terms_of(F.col("value"), records.schema["value"].dataType.simpleString() == "string").alias("terms"))
+    terms = F.concat(F.coalesce("terms", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    # an outer explode, as an inner one lets the optimizer infer a filter that finds the terms a second time
+    each = found.select("record", F.coalesce(F.array_size("terms"), F.lit(0)).alias("n_record"), F.explode_outer(terms).alias("term"))
+    return each.groupBy("record", "n_record", "term").agg(F.count("*").alias("tf"))
+
+
+def marginals(joint: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """(term, df, n_term, smooth) of joint counts; the row of the null term has N in df and the sum of smoothed counts of records."""
+    smooth = F.sum(F.when(F.col("term").isNull() & (F.col("n_record") > 0), F.pow("n_record", F.lit(smoothing))))
+    return joint.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_term"), F.coalesce(smooth, F.lit(0.0)).alias("smooth"))
+
+
+def best_terms(records: DataFrame, k: int, score: str = "tfidf", min_df: int = 2, smoothing: float = SMOOTHING, hot: int = HOT) -> DataFrame:
     """(record, term, tf, df, score, rank): the k best terms of each record of records (record, value).
 
     value is a text or an array of strings. Terms in fewer than min_df records take no part; ties: smaller term first (by its
@@ -79,56 +57,25 @@ def best_terms(records: DataFrame, k: int, score: str = "tfidf", min_df: int = 2
     """
     if score not in ("tfidf", "ppmi"):
         raise ValueError(score)
-    by_term = marginals(records, smoothing).where((F.col("df") >= min_df) | F.col("term").isNull()).persist()
-    n, smooth = next(((r["df"], r["n_term"]) for r in by_term.where("term is null").collect()), (0, 0.0))
-    # at most `frequent` rows, whatever the data's size
-    top = by_term.where("term is not null").orderBy(F.desc("df"), "term").limit(frequent).collect()
-    known = {r["term"]: (r["df"], r["n_term"]) for r in top}
-    complete = len(top) < frequent
-    sent = records.sparkSession.sparkContext.broadcast(known)
-    kind = records.schema["record"].dataType.simpleString()
-
-    def value_of(tf: int, df: float, n_term: float, n_record: int) -> float:
-        if score == "tfidf":
-            return tf * float(np.log((n + 1) / (df + 1)))
-        return max(0.0, float(np.log(tf * smooth / (n_term * n_record**smoothing))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for b in batches:
-            at: list[int] = []
-            rows: list[tuple] = []
-            for i, v in enumerate(b.column("value")):
-                found = terms_of(v.as_py())
-                if not found:
-                    continue
-                local = []
-                m = len(found)
-                for t, tf in Counter(found).items():
-                    c = table.get(t)
-                    if c is not None:
-                        local.append((-value_of(tf, c[0], c[1], m), t, tf, c[0]))
-                    elif not complete:
-                        at.append(i)
-                        rows.append((t, tf, None, None, m))
-                for s, t, tf, d in heapq.nsmallest(k, local):
-                    at.append(i)
-                    rows.append((t, tf, d, -s, m))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("record").take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True))], names=["record", "term", "tf", "df", "score", "n_record"])
-
-    scored = records.select("record", "value").mapInArrow(run, f"record {kind}, term string, tf long, df long, score double, n_record long")
-    if not complete:
-        # only the postings of terms beyond the bounded table are shuffled; this scans the records once more
-        rest = scored.where("df is null").drop("df", "score").join(by_term.where("term is not null"), "term")
-        if score == "tfidf":
-            value = F.col("tf") * F.log((F.lit(n) + 1) / (F.col("df") + 1))
-        else:
-            value = F.greatest(F.lit(0.0), F.log(F.col("tf") * F.lit(smooth) / (F.col("n_term") * F.pow("n_record", F.lit(smoothing)))))
-        scored = scored.where("df is not null").drop("n_record").unionByName(rest.select("record", "term", "tf", "df", value.alias("score")))
-    w = Window.partitionBy("record").orderBy(F.desc("score"), "term")
-    return scored.select("record", "term", "tf", "df", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    joint = joint_counts(records)
+    counts = cut_lineage(marginals(joint, smoothing).where((F.col("df") >= min_df) | F.col("term").isNull()))
+    every = counts.where("term is null").agg(F.max("df").alias("n"), F.max("smooth").alias("smooth"))  # one row
+    by_term = counts.where("term is not null").drop("smooth")
+    top = by_term.where(F.length("term") <= LONG).orderBy(F.desc("df"), "term").limit(hot)  # a bounded table
+    if score == "tfidf":
+        value = F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))
+    else:
+        value = F.greatest(F.lit(0.0), F.log(F.col("tf") * F.col("smooth") / (F.col("n_term") * F.pow("n_record", F.lit(smoothing)))))
+    w = Window.partitionBy("record").orderBy(F.desc_nulls_last("score"), "term")
+    rank = F.row_number().over(w)
+    found = joint.where("term is not null").join(F.broadcast(top), "term", "left").crossJoin(F.broadcast(every)).withColumn("score", value)
+    # where the record stands: of its frequent terms only the best go on
+    held = found.withColumn("rank", rank).where((F.col("rank") <= k) | F.col("score").isNull()).drop("rank")
+    # the others meet their counts by term; a frequent one has them, and a key of its own that meets nothing
+    key = F.when(F.col("df").isNull(), F.col("term")).otherwise(F.concat(F.lit("\0"), F.col("record").cast("string")))
+    late = by_term.select(F.col("term").alias("key"), F.col("df").alias("late_df"), F.col("n_term").alias("late_n"))
+    met = held.withColumn("key", key).join(late, "key", "left").withColumns({"df": F.coalesce("df", "late_df"), "n_term": F.coalesce("n_term", "late_n")}).where("df is not null")
+    return met.withColumn("score", value).withColumn("rank", rank).where(F.col("rank") <= k).select("record", "term", "tf", "df", "score", "rank")
 
 
 def chunk_records(chunks: DataFrame) -> DataFrame:
