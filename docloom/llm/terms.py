@@ -45,8 +45,9 @@ def joint_counts(records: DataFrame) -> DataFrame:
 
 def marginals(joint: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """(term, df, n_term, smooth) of joint counts; the row of the null term has N in df and the sum of smoothed counts of records."""
-    smooth = F.sum(F.when(F.col("term").isNull() & (F.col("n_record") > 0), F.pow("n_record", F.lit(smoothing))))
-    return joint.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_term"), F.coalesce(smooth, F.lit(0.0)).alias("smooth"))
+    # summed as decimals, so that the sum doesn't depend on the order
+    smooth = F.sum(F.when(F.col("term").isNull() & (F.col("n_record") > 0), F.pow("n_record", F.lit(smoothing)).cast("decimal(28,9)")))
+    return joint.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_term"), F.coalesce(smooth.cast("double"), F.lit(0.0)).alias("smooth"))
 
 
 def best_terms(records: DataFrame, k: int, score: str = "tfidf", min_df: int = 2, smoothing: float = SMOOTHING, hot: int = HOT) -> DataFrame:
@@ -66,6 +67,7 @@ def best_terms(records: DataFrame, k: int, score: str = "tfidf", min_df: int = 2
         value = F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))
     else:
         value = F.greatest(F.lit(0.0), F.log(F.col("tf") * F.col("smooth") / (F.col("n_term") * F.pow("n_record", F.lit(smoothing)))))
+    value = F.when(F.col("df").isNotNull(), value)  # greatest passes nulls over
     w = Window.partitionBy("record").orderBy(F.desc_nulls_last("score"), "term")
     rank = F.row_number().over(w)
     found = joint.where("term is not null").join(F.broadcast(top), "term", "left").crossJoin(F.broadcast(every)).withColumn("score", value)
