@@ -163,3 +163,20 @@ def sliding_hash(tokens: np.ndarray, off: np.ndarray, width: int) -> tuple[np.nd
     return mix64(h), new
 
 
+def by_group(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
+    """Tables of least rows or more of batches sorted by column, none of which ends within a group."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            t = pa.Table.from_batches(held)
+            key = t.column(column).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            if cut:
+                yield t.slice(0, cut)
+            held, n = t.slice(cut).to_batches(), t.num_rows - cut
+            least = max(least, 2 * n) if not cut else least
+    if n:
+        yield pa.Table.from_batches(held)

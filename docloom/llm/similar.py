@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm._text import by_group
+
 DIM = 512
 #: Coordinates in a hash block (64 cells of signed axes).
 BLOCK = 32
@@ -213,25 +215,6 @@ def _lists(m: np.ndarray, where: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(m.ravel()), mask=pa.array(~where))
 
 
-def by_group(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
-    """Tables of least rows or more of batches sorted by column, none of which ends within a group."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= least:
-            t = pa.Table.from_batches(held)
-            key = t.column(column).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
-            if cut:
-                yield t.slice(0, cut)
-            held, n = t.slice(cut).to_batches(), t.num_rows - cut
-            least = max(least, 2 * n) if not cut else least
-    if n:
-        yield pa.Table.from_batches(held)
-
-
 def _near_in_sketch(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of the rows of x and y whose sketches are near enough; i < j if both are the same rows."""
     first, every = most_bits(least, FIRST_SLACK, 2), most_bits(least)

@@ -252,6 +252,8 @@ def test_near_duplicates(spark):
     want = sorted((a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]))
     members, links = neardup.near_duplicates(df, "chunk_id", "content", 3, 0.6, 20)
     assert pairs(neardup.member_pairs(members, links)) == want
+    for part in (1, 3):  # variants of more records than a task pairs
+        assert pairs(neardup.member_pairs(*neardup.near_duplicates(df, "chunk_id", "content", 3, 0.6, 20, part=part))) == want
     g = {r["id"]: r for r in neardup.groups(members, links).collect()}
     assert len({g[f"copy{i}"]["group_id"] for i in range(5)} | {g["case"]["group_id"], g["d000"]["group_id"]}) == 1
     assert set(g) == set(sets)
