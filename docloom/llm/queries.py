@@ -93,12 +93,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return unify.look_alike_pairs(_t(spark, d, "documents"))
 
 
+def p9_groups(spark: SparkSession, d: str) -> DataFrame:
+    return unify.look_alike_groups(_t(spark, d, "documents"))
+
+
 def p9_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify.unify_text(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "unified_text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p2_wrappers, p3_found, p3_ppmi, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_unified)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p2_wrappers, p3_found, p3_ppmi, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_groups, p9_unified)}
 
 
 def _terms_sql(kind: str, name: str, k: int) -> str:

@@ -5,9 +5,10 @@ expands to and where they stand, so decomposing, folding full-width forms, unify
 characters is one gather; marks are then ordered and composed over the whole batch. No string call is made per row.
 
 The form: full-width letters and digits become ordinary ones, canonical decompositions are composed (NFC), every Unicode
-space separator becomes U+0020, zero-width characters and soft hyphens vanish, and look-alike letters of Latin, Cyrillic
-and Greek take the script that the word's unambiguous letters have (else that of the text, else Latin).
-Letter case, accents, raised digits, line breaks, tabs and punctuation stay.
+space separator becomes U+0020, zero-width characters and soft hyphens vanish, and look-alike letters of Latin, Cyrillic,
+Greek, Armenian, Cherokee and Lisu take the script that the word's unambiguous letters have (else that of the text, else
+Latin). Letter case, accents, raised digits, line breaks, tabs and punctuation stay, and so do letters of another style
+(mathematical bold and the like).
 """
 
 from __future__ import annotations
@@ -21,14 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm._graph import cut_lineage
 from docloom.llm._text import N_CODEPOINTS, TABLE_END, codepoints, row_of, scan_rows, to_strings
 
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = dict(zip("АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝӏ", "ABCEHIJKMOPSTXYaceijopsxyhdqwl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχ", "ABEZHIKMNOPTYXaikvopux", strict=True))
+ARMENIAN = dict(zip("հոսօցԼՍՏՕ", "hnuogLUSO", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True))
+# Latin letters that look like others of their script.
+LATIN = {"ɡ": "g", "ɑ": "a"}
 # Code points without width, as ranges (soft hyphen, joiners, marks of direction, variation selectors, byte-order mark).
 INVISIBLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0100, 0xE01EF)]
-LATIN_S, CYRILLIC_S, GREEK_S = 1, 2, 3
+LATIN_S, CYRILLIC_S, GREEK_S, ARMENIAN_S, CHEROKEE_S, LISU_S = 1, 2, 3, 4, 5, 6
+#: Of each other script: its letters, its code points, and whether its texts are so common beside Latin ones that a Latin letter it imitates tells nothing.
+OTHERS = {CYRILLIC_S: (CYRILLIC, range(0x400, 0x530), True), GREEK_S: (GREEK, range(0x370, 0x400), True), ARMENIAN_S: (ARMENIAN, range(0x531, 0x590), False), CHEROKEE_S: (CHEROKEE, range(0x13A0, 0x13F6), False), LISU_S: (LISU, range(0xA4D0, 0xA4F8), False)}
 L0, V0, T0, S0, LN, VN, TN = 0x1100, 0x1161, 0x11A7, 0xAC00, 19, 21, 28
 
 
@@ -74,16 +83,18 @@ class _Tables:
         for i in range(0x41, 0x250):
             if chr(i).isalpha():
                 self.script[i] = LATIN_S
-        self.script[0x400:0x530] = CYRILLIC_S
-        self.script[0x370:0x400] = GREEK_S
         self.same = np.arange(N_CODEPOINTS, dtype=np.uint32)  # the Latin letter of each look-alike
-        self.to_script = {LATIN_S: self.same, CYRILLIC_S: np.arange(N_CODEPOINTS, dtype=np.uint32), GREEK_S: np.arange(N_CODEPOINTS, dtype=np.uint32)}
+        self.to_script = {}
         self.ambiguous = np.zeros(N_CODEPOINTS, bool)
-        for pairs_of, code in ((CYRILLIC, CYRILLIC_S), (GREEK, GREEK_S)):
-            for other, latin in pairs_of.items():
+        for code, (letters, span, common) in OTHERS.items():
+            self.script[span.start : span.stop] = code
+            self.to_script[code] = np.arange(N_CODEPOINTS, dtype=np.uint32)
+            for other, latin in letters.items():
                 self.same[ord(other)] = ord(latin)
                 self.to_script[code][ord(latin)] = ord(other)
-                self.ambiguous[[ord(other), ord(latin)]] = True
+                self.ambiguous[[ord(other), ord(latin)] if common else ord(other)] = True
+        for other, latin in LATIN.items():
+            self.same[ord(other)] = ord(latin)
 
 
 @lru_cache(1)
@@ -154,16 +165,16 @@ def _compose(cp: np.ndarray, row: np.ndarray, t: _Tables) -> tuple[np.ndarray, n
 def _scripts(cp: np.ndarray, row: np.ndarray, t: _Tables) -> np.ndarray:
     """Look-alike letters in the script of their word."""
     maybe = t.ambiguous[cp]
-    if not (maybe & (cp >= 0x370)).any() and not (t.script[cp] > LATIN_S).any():
-        return cp
+    if not (t.script[cp] > LATIN_S).any():
+        return t.same[cp]
     letter = t.letter[cp]
     starts = letter & ~np.concatenate([[False], letter[:-1] & (row[1:] == row[:-1])])
     word = np.cumsum(starts) * letter  # 0: outside words
     n_words, n_rows = int(word.max()) + 1, int(row[-1]) + 1
     sure = letter & ~maybe & (t.script[cp] > 0)
-    by_word = np.zeros((4, n_words), np.int64)
-    by_row = np.zeros((4, n_rows), np.int64)
-    for s in (LATIN_S, CYRILLIC_S, GREEK_S):
+    by_word = np.zeros((len(OTHERS) + 2, n_words), np.int64)
+    by_row = np.zeros((len(OTHERS) + 2, n_rows), np.int64)
+    for s in (LATIN_S, *OTHERS):
         sel = sure & (t.script[cp] == s)
         by_word[s] = np.bincount(word[sel], minlength=n_words)
         by_row[s] = np.bincount(row[sel], minlength=n_rows)
@@ -172,8 +183,8 @@ def _scripts(cp: np.ndarray, row: np.ndarray, t: _Tables) -> np.ndarray:
     chosen = best_word[word]
     chosen = np.where(chosen == 0, best_row[row], chosen)
     out = t.same[cp]
-    for s in (CYRILLIC_S, GREEK_S):
-        sel = maybe & (chosen == s) & letter
+    for s in OTHERS:
+        sel = (chosen == s) & letter
         out[sel] = t.to_script[s][out[sel]]
     return out
 
@@ -232,9 +243,7 @@ def look_alike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Distinct texts of one form are paired first, by representative; documents join to those, so copies of one text never
     meet one another. Null texts take part in no pair.
     """
-    # only texts with something beyond ASCII can differ from their own form, but any text can be another's form
-    forms = unify_text(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null"), "text", "form")
-    keyed = forms.select("doc_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("same"))
+    keyed = _keyed(df, doc_id, text)
     several = keyed.groupBy("form").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("form")
     members = keyed.join(several, "form", "left_semi")
     kinds = members.select("form", "same").distinct()
@@ -242,3 +251,21 @@ def look_alike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     one = members.select("form", F.col("same").alias("same_1"), F.col("doc_id").alias("id_1"))
     two = members.select("form", F.col("same").alias("same_2"), F.col("doc_id").alias("id_2"))
     return pairs.join(one, ["form", "same_1"]).join(two, ["form", "same_2"]).select(F.least("id_1", "id_2").alias("doc_id_1"), F.greatest("id_1", "id_2").alias("doc_id_2")).distinct()
+
+
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, form, same): hashes of each text's consistent form and of the text itself, made once and written down."""
+    forms = unify_text(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null"), "text", "form")
+    return cut_lineage(forms.select("doc_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("same")))
+
+
+def look_alike_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, form_id, n_texts, n_links): each document with its class of equal-looking texts, the different texts in it, and
+    the documents that look the same but have another text.
+
+    One row for each doc_id and text, however many documents look alike. Null texts and ids give no row.
+    """
+    keyed = _keyed(df, doc_id, text).distinct()
+    texts = keyed.groupBy("form", "same").agg(F.count("*").alias("n_same"))
+    of_form = texts.groupBy("form").agg(F.count("*").alias("n_texts"), F.sum("n_same").alias("n_form"))
+    return keyed.join(of_form, "form").join(texts, ["form", "same"]).select("doc_id", F.lower(F.hex("form")).alias("form_id"), "n_texts", (F.col("n_form") - F.col("n_same")).alias("n_links"))

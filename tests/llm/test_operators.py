@@ -416,7 +416,7 @@ def test_unified_form_is_nfc_with_folding():
     assert unify.unify_arrow(pa.array(got)).to_pylist() == got
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("pаss", "pass", True), ("Мoсква", "Москва", True), ("a\u200bb\u00ad", "ab", True), ("x\u00a0y", "x y", True), ("ё", "ë", True), ("x²", "x2", False), ("A", "a", False), ("e", "é", False), ("a\nb", "a b", False), ("", "\u200b", True), ("a,", "a.", False), ("Ａ１", "A1", True)])
+@pytest.mark.parametrize(("a", "b", "same"), [("pаss", "pass", True), ("Мoсква", "Москва", True), ("a\u200bb\u00ad", "ab", True), ("x\u00a0y", "x y", True), ("ё", "ë", True), ("x²", "x2", False), ("A", "a", False), ("e", "é", False), ("a\nb", "a b", False), ("", "\u200b", True), ("a,", "a.", False), ("Ａ１", "A1", True), ("օne", "one", True), ("Ꭺpple", "Apple", True), ("ꓐook", "Book", True), ("ɡo", "go", True), ("Это NGO", "Это NGО", True), ("𝐚bc", "abc", False), ("Հայերեն", "Zայերեն", False)])
 def test_look_alikes(a, b, same):
     x, y = unify.unify_arrow(pa.array([a, b])).to_pylist()
     assert (x == y) == same
@@ -426,6 +426,9 @@ def test_look_alike_pairs(spark):
     rows = [(1, "pass word"), (2, "pаss word"), (3, "pass\u00a0word"), (4, "pass word"), (5, "other"), (6, None), (7, ""), (8, "\u200b"), (9, "x" * 3_000_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("form", F.lit(1))
     assert pairs(unify.look_alike_pairs(df)) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (7, 8)]
-    assert unify.look_alike_pairs(df.limit(0)).count() == 0
+    assert unify.look_alike_pairs(df.limit(0)).count() == 0 and unify.look_alike_groups(df.limit(0)).count() == 0
+    groups = {r["doc_id"]: r for r in unify.look_alike_groups(df).collect()}
+    assert {k: (r["n_texts"], r["n_links"]) for k, r in groups.items()} == {1: (3, 2), 4: (3, 2), 2: (3, 3), 3: (3, 3), 5: (1, 0), 7: (2, 1), 8: (2, 1), 9: (1, 0)}
+    assert groups[1]["form_id"] == groups[3]["form_id"] != groups[5]["form_id"]
     out = unify.unify_text(df.withColumn("unified_text", F.lit("old")))
     assert out.columns == ["doc_id", "text", "form", "unified_text"] and out.where("doc_id = 2").first()["unified_text"] == "pass word"
