@@ -2,8 +2,8 @@
 
 1. Literals: every content is scanned for literals in the place of a credential (assigned to a credential's name, in an
    address or an authorization value, a private key block, or of a form that only tokens have), wherever it stands.
-2. Owners: literals are counted corpus-wide by the files that hold them. A weak literal that many files share is a
-   placeholder and is suppressed.
+2. Owners: literals are counted corpus-wide by the files that hold them. A weak literal that a share of all files holds is a
+   placeholder and is suppressed (placeholders() tells which).
 3. Confirmed: the rare literals with the structure of a secret.
 4. Re-scan: every content is scanned again for the confirmed values with an automaton. A value is only looked for in
    contents that hold its anchor (the hash of GRAM characters of it, wherever they stand), found by a fixed-size filter and an equality
@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from docloom.llm._text import codepoints, scan_rows, sliding_hash
 
-#: A weak literal in more files than this is a placeholder.
-SHARED_OWNERS = 12
+#: A weak literal in more than this share of all files, and in more than so many, is a placeholder. As a file holds few
+#: literals, the share also bounds how many placeholders there can be.
+SHARE, SHARED_OWNERS = 0.001, 12
+#: Placeholders that are sent to all tasks; beyond it they are joined.
+MOST_SENT = 100_000
 #: Length from which a value can be strong, and characters of an anchor: no confirmed value is shorter.
 RESCAN_LENGTH, GRAM = 12, 8
 #: The filter of anchors has 2 ** FILTER_BITS bits (8 MB); with many anchors it lets more through.
@@ -55,7 +58,7 @@ USER_FLAG = re.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[A-Za-z0-9_.\-]+:(?P<v>[
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Forms that only issued tokens have.
-ISSUED = re.compile(r"(?<![A-Za-z0-9_\-])(?P<v>A(?:KI|SI)A[A-Z0-9]{16}|xox[abeoprs]-[A-Za-z0-9\-]{10,}|gl(?:pat|ptt|dt)-[A-Za-z0-9_\-]{16,}|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|sk_live_[A-Za-z0-9]{6,}|rk_live_[A-Za-z0-9]{8,}|npm_[A-Za-z0-9]{30,}|AIza[A-Za-z0-9_\-]{30,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?![A-Za-z0-9_])")
+ISSUED = re.compile(r"(?<![A-Za-z0-9_\-])(?P<v>A(?:KI|SI)A[A-Z0-9]{16}|xox[abeoprs]-[A-Za-z0-9\-]{10,}|gl(?:pat|ptt|dt)-[A-Za-z0-9_\-]{16,}|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|sk_live_[A-Za-z0-9]{6,}|rk_live_[A-Za-z0-9]{8,}|npm_[A-Za-z0-9]{30,}|AIza[A-Za-z0-9_\-]{30,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|sk-(?:proj|svcacct|ant)-[A-Za-z0-9_\-]{20,}|hf_[A-Za-z0-9]{30,}|whsec_[A-Za-z0-9+/=]{24,}|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?![A-Za-z0-9_])")
 PIECE = re.compile(r"""[ \t]*(?:[+.\\&][ \t]*)?\r?\n[ \t]*(?:[#/*]+[ \t]*)?(?:[+.&][ \t]*)?(?P<q>["'`])(?P<v>[^"'`\n]+)(?P=q)(?![ \t]*:)|[ \t]*[+.&][ \t]*(?P<r>["'`])(?P<w>[^"'`\n]+)(?P=r)""")
 NAMED_ENV = re.compile(r"(?i)\bname[\"']?\s*[:=]\s*[\"']?(?P<name>[A-Za-z0-9_\-.]*" + _NAME + r")[\"']?\s*,?[ \t]*\r?\n[ \t]*[\"']?value[\"']?\s*[:=][ \t]*(?:" + _VALUE + r"|(?P<bare>[^\s\"'`,]+))")
 
@@ -118,7 +121,7 @@ def _plausible(v: str, quoted: bool, name: str) -> bool:
 HINT = re.compile(
     r"(?i)pass|pwd|secret|token|credential|[a-z]key|[_\-. ]key|://[^\s/@]*:[^\s/]*@|bearer|basic[ \t]|-----BEGIN|(?:-u|--user)[ =]"
     r"|mysql|mariadb|redis-cli|docker|podman|mongo|ldap|smbclient"
-    r"|AKIA|ASIA|xox|gl(?:pat|ptt|dt)-|gh[opsur]_|github_pat_|[sr]k_live|npm_|AIza|SG\.|eyJ"
+    r"|AKIA|ASIA|xox|gl(?:pat|ptt|dt)-|gh[opsur]_|github_pat_|[sr]k_live|npm_|AIza|SG\.|eyJ|sk-(?:proj|svcacct|ant)-|hf_|whsec_"
 )
 
 
@@ -252,19 +255,29 @@ def candidates(chunks: DataFrame) -> DataFrame:
     return _rows(chunks).mapInArrow(run, f"chunk_id string, file_path string, line_no int, start int, end int, value string, kind string, weak boolean, more {MORE}, sought array<struct<text:string,rest:string,anchor:long>>")
 
 
-def find_secrets(chunks: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
+def placeholders(found: DataFrame, files: int, share: float = SHARE, least: int = SHARED_OWNERS) -> DataFrame:
+    """(value, owners): weak literals of candidates() that more than the share of all files, and more than least, hold.
+
+    At most 1 / share times the literals of an average file can be.
+    """
+    # a placeholder that a third of all files share is one row per task before it is shuffled
+    owners = found.where("weak").select("value", "file_path").distinct().groupBy("value").agg(F.count("*").alias("owners"))
+    return owners.where(F.col("owners") > max(least, share * files))
+
+
+def find_secrets(chunks: DataFrame, share: float = SHARE, least: int = SHARED_OWNERS) -> DataFrame:
     """(chunk_id, line_no, start, end, value, kind, more): every place of a credential, one row per place.
 
     A value written in several pieces is one row: start and end of the first piece, the others in more.
 
     Lines count from 1, positions are code points from 0. Null contents and ids give no row; rows of one chunk_id are one
     chunk. kind is private_key, address, authorization, command, issued, assigned, or rescan for places that only the
-    second scan finds.
+    second scan finds. share, least: see placeholders().
     """
     found = candidates(chunks).persist()
-    # a placeholder that a third of all files share is one row per task before it is shuffled
-    owners = found.select("value", "file_path").distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    common = owners.where(F.col("owners") > shared).select("value")
+    files = chunks.select("file_path").distinct().count()
+    common = placeholders(found, files, share, least).select("value").persist()
+    common = F.broadcast(common) if common.count() <= MOST_SENT else common
     places = found.join(common.withColumn("common", F.lit(True)), "value", "left").where(~(F.col("weak") & F.coalesce("common", F.lit(False)))).drop("common")
     first = places.select("chunk_id", "line_no", "start", "end", "value", "kind", "more").distinct()
 
