@@ -5,11 +5,12 @@ from __future__ import annotations
 import logging
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import schemas
@@ -17,7 +18,7 @@ from docloom.functions import domains
 from docloom.functions.classify import classify
 from docloom.functions.enhance import enhance
 from docloom.functions.text import query_terms
-from docloom.operators import jobs, recommend, retrieval, statistics
+from docloom.operators import jobs, learning, recommend, retrieval, statistics
 from docloom.schemas import ChunkingConfig, EngineError, FileError, SearchOptions
 from docloom.sources import files
 from docloom.sources.embedding import Embedder, HashingEmbedder, embed_query
@@ -26,6 +27,8 @@ from docloom.sources.store import Store, insert_missing
 from docloom.streaming.streams import ingest_batch
 
 log = logging.getLogger("docloom")
+#: How long a vocabulary and a query's intent are kept, and how many intents.
+VOCABULARY_SECONDS, INTENT_SECONDS, MOST_INTENTS = 300, 24 * 3600, 1000
 STRATEGY_TEXT = {"removal": "Leave out terms that say little", "refinement": "Use a more telling term", "contextual_addition": "Add terms of the best results"}
 
 
@@ -36,30 +39,50 @@ class Engine:
         self.folders = files.make_folders(Path(root))
         if not self.store.exists("domain_vocabulary"):
             self.store.write("domain_vocabulary", insert_missing(self.store.read("domain_vocabulary"), domains.seed(spark), ["domain"]))
+        self._vocabulary: tuple[float, domains.Vocabulary] | None = None
+        self._intents: dict[str, tuple[float, Row]] = {}
+        self._listeners: dict[str | None, list[Callable[[dict], None]]] = {}
 
     # ---- search
 
     def vocabulary(self) -> domains.Vocabulary:
-        return domains.load(self.store.read("domain_vocabulary"))
+        """The vocabulary, read again when it is older than VOCABULARY_SECONDS or was changed here."""
+        if self._vocabulary is None or time.time() - self._vocabulary[0] > VOCABULARY_SECONDS:
+            self._vocabulary = time.time(), domains.load(self.store.read("domain_vocabulary"))
+        return self._vocabulary[1]
 
     def add_vocabulary(self, rows: DataFrame) -> None:
         self.store.upsert("domain_vocabulary", rows, ["domain"])
+        self._vocabulary = None
+        self._intents.clear()
 
     def intent(self, query: str) -> DataFrame:
         one = self.spark.createDataFrame([(query,)], "query string")
         return domains.query_intent(one, vocabulary=self.vocabulary()).withColumn("expires_at", F.current_timestamp() + F.expr("interval 24 hours"))
 
+    def _intent(self, query: str) -> Row:
+        """A query's intent, kept for INTENT_SECONDS; the MOST_INTENTS last ones are."""
+        held = self._intents.pop(query, None)
+        if held is None or time.time() - held[0] > INTENT_SECONDS:
+            held = time.time(), self.intent(query).first()
+        self._intents[query] = held
+        while len(self._intents) > MOST_INTENTS:
+            self._intents.pop(next(iter(self._intents)))
+        return held[1]
+
     def search(self, query: str, options: SearchOptions | None = None) -> DataFrame:
         """Hits: chunk columns without vector, score, rank and metadata. One plan, run when it is asked for."""
         o = options or SearchOptions()
-        intent = self.intent(query).first()
+        intent = self._intent(query)
         found = intent["detected_domains"]
         chunks, meta = self.store.read("chunks"), self.store.read("content_metadata")
         if o.prefilter:
             cond = retrieval.metadata_predicate(o)
             if cond is not None:
                 chunks = chunks.join(retrieval.latest(meta, ["chunk_id"], "created_at").where(cond).select("chunk_id"), "chunk_id", "left_semi")
-        hits = retrieval.knn(chunks, embed_query(query, self.embedder), o.limit or 10, o.mode).drop("embedding")
+        near = retrieval.knn(chunks.select("chunk_id", "embedding"), embed_query(query, self.embedder), o.limit or 10, o.mode).drop("embedding")
+        # only ids and vectors are ranked; the texts of the hits, as many as the limit, are fetched afterwards
+        hits = chunks.drop("embedding").join(F.broadcast(near), "chunk_id")
         hits = retrieval.with_score_at_least(hits, o.min_score) if o.mode == "similarity" or o.strict else hits
         hits = retrieval.join_metadata(hits, meta.drop("raw_content", "processed_content", "file_extension"))
         from pyspark.sql import Window
@@ -86,7 +109,7 @@ class Engine:
         rec = None
         if len(rows) < 3 or average < params["current_tfidf_threshold"] or len(terms) > 5:
             hit = recommend.cached(self.store.read("search_recommendations").where(F.col("query") == query), F.current_timestamp()).first()
-            rec = hit.asDict() if hit else None
+            rec = hit.asDict() if hit else self.recommend(query, rows, params["current_tfidf_threshold"])
         steps = []
         if rec:
             steps.append(f"search_documents({' '.join(rec['suggested_terms'])!r})")
@@ -101,6 +124,28 @@ class Engine:
             "next_steps": steps, "warning": f"{running} jobs are running; results may be incomplete" if running else None, "search_time_ms": int((time.time() - began) * 1000), "options": asdict(options or SearchOptions()),
         }
 
+    def recommend(self, query: str, rows: list[Row], threshold: float) -> dict | None:
+        """A recommendation from a search's hits, stored and returned; None if there is none."""
+        q = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+        r = self.spark.createDataFrame([(0, i + 1, x["content"]) for i, x in enumerate(rows[: recommend.MAX_DOCS])], "query_id int, rank int, content string")
+        total = self.store.read("documents_idx").count()
+        found = recommend.recommend(q, r, total, threshold).drop("query_id").first()
+        if found is None:
+            return None
+        self.store.store_recommendations(self.spark.createDataFrame([found.asDict()], schemas.struct(schemas.RECOMMENDATIONS)))
+        return recommend.cached(self.store.read("search_recommendations").where(F.col("query") == query), F.current_timestamp()).first().asDict()
+
+    def feedback(self, recommendation_id: str, was_used: bool, score: float, original_count: int, improved_results: bool | None = None, improved_count: int | None = None) -> learning.Params:
+        """Records how well a recommendation worked and learns from it; returns the parameters that hold from now on."""
+        self.store.record_effectiveness(recommendation_id, was_used, score, original_count, improved_results, improved_count, datetime.now(UTC))
+        rec = self.store.read("search_recommendations").where(F.col("id") == recommendation_id).select("suggestion_strategy").first()
+        p = learning.update(self.store.current_parameters(), float(score), rec["suggestion_strategy"] if rec else None)
+        self.store.update_learning_parameters(p)
+        return p
+
+    def reset_learning(self) -> None:
+        self.store.update_learning_parameters(learning.Params.reset())
+
     def file_details(self, path: str, chunk_index: int | None = None, context_size: int = 3) -> DataFrame:
         """A file's chunks, or those around one; with a preview of 500 characters."""
         rows = retrieval.file_chunks(self.store.read("chunks"), path)
@@ -114,9 +159,43 @@ class Engine:
     def remove_file(self, path: str) -> int:
         return self.store.delete_file(path)
 
+    def subscribe(self, listener: Callable[[dict], None], job_id: str | None = None) -> Callable[[], None]:
+        """Calls listener with each event of a job, or of all; a job's last event is told at once. Returns what ends it."""
+        if job_id is not None:
+            last = jobs.latest_progress(self.store.read("job_events").where(F.col("job_id") == job_id)).first()
+            if last is not None:
+                listener(last.asDict())
+        self._listeners.setdefault(job_id, []).append(listener)
+        return lambda: self._listeners[job_id].remove(listener) if listener in self._listeners[job_id] else None
+
     def _event(self, job: str, kind: str, status: str, progress: float, message: str = "") -> None:
-        row = self.spark.createDataFrame([(job, kind, status, float(progress), message, datetime.now(UTC))], schemas.JOB_EVENTS)
+        at = datetime.now(UTC)
+        row = self.spark.createDataFrame([(job, kind, status, float(progress), message, at)], schemas.JOB_EVENTS)
         self.store.append("job_events", row)
+        shown = 100.0 if status == "completed" else 0.0 if status == "failed" else max(0.0, min(100.0, float(progress)))
+        for listener in [*self._listeners.get(job, []), *self._listeners.get(None, [])]:
+            try:
+                listener({"job_id": job, "progress": shown, "message": message, "ts": at})
+            except Exception:
+                log.exception("a listener failed")
+
+    def _process(self, found: DataFrame, kind: str, tell, config: ChunkingConfig | None, enrich: bool) -> int:
+        """Files read (files.read_files) into the index: chunked, embedded, stored, described. Raises if nothing comes of it."""
+        found = found.persist()
+        try:
+            if not found.where("status = 'ok'").take(1):
+                said = found.select("status").distinct().limit(5).collect()
+                raise FileError("no readable text: " + (", ".join(sorted(r["status"] for r in said)) or "no files"))
+            tell(jobs.stage_progress(kind, "process", "chunk", 1.0), "read")
+            n = ingest_batch(found.where("status = 'ok'"), self.store, config, self.embedder)
+            if not n:
+                raise FileError("no chunks")
+            tell(jobs.stage_progress(kind, "process", "store", 1.0), "stored")
+            if enrich:
+                self.enrich(found.where("status = 'ok'").select("file_path"))
+            return n
+        finally:
+            found.unpersist()
 
     def _run(self, kind: str, work) -> str:
         job = f"job_{uuid.uuid4().hex}"
@@ -130,32 +209,17 @@ class Engine:
         return job
 
     def ingest_path(self, path: str, config: ChunkingConfig | None = None, enrich: bool = True) -> str:
-        def work(tell) -> int:
-            found = files.read_files(self.spark, path).persist()
-            try:
-                if not found.where("status = 'ok'").take(1):
-                    raise FileError("no readable text")
-                tell(10, "read")
-                n = ingest_batch(found.where("status = 'ok'"), self.store, config, self.embedder)
-                if not n:
-                    raise FileError("no chunks")
-                if enrich:
-                    self.enrich(found.select("file_path"))
-                return n
-            finally:
-                found.unpersist()
-
-        return self._run("file_download", work)
+        return self._run("file_download", lambda tell: self._process(files.read_files(self.spark, path), "file", tell, config, enrich))
 
-    def ingest_file(self, url: str, filename: str, overwrite: bool = True, max_mb: int = 1024, config: ChunkingConfig | None = None) -> str:
+    def ingest_file(self, url: str, filename: str, overwrite: bool = True, max_mb: int = 1024, config: ChunkingConfig | None = None, enrich: bool = True) -> str:
         def work(tell) -> int:
             path = files.download(url, filename, str(self.folders["fetched"]), overwrite, max_mb)
-            tell(40, "downloaded")
-            return ingest_batch(files.read_files(self.spark, path).where("status = 'ok'"), self.store, config, self.embedder)
+            tell(jobs.stage_progress("file", "land", "", 1.0), "downloaded")
+            return self._process(files.read_files(self.spark, path), "file", tell, config, enrich)
 
         return self._run("file_download", work)
 
-    def ingest_repo(self, source: str, branch: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, config: ChunkingConfig | None = None) -> str:
+    def ingest_repo(self, source: str, branch: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, config: ChunkingConfig | None = None, enrich: bool = True) -> str:
         """A repository by address or folder, packed into one markdown document and ingested."""
         def work(tell) -> int:
             import shutil
@@ -167,8 +231,8 @@ class Engine:
             finally:
                 if folder != source:
                     shutil.rmtree(folder, ignore_errors=True)
-            tell(30, "packed")
-            return ingest_batch(files.read_files(self.spark, target).where("status = 'ok'"), self.store, config, self.embedder)
+            tell(jobs.stage_progress("repo", "land", "", 1.0), "packed")
+            return self._process(files.read_files(self.spark, target), "repo", tell, config, enrich)
 
         return self._run("repo_download", work)
 
@@ -202,7 +266,7 @@ class Engine:
         return jobs.statistics(self.job_states())
 
     def index_statistics(self) -> dict:
-        size = sum(p.stat().st_size for p in self.store.root.rglob("*") if p.is_file())
+        size = self.store.size()
         return statistics.index_statistics(self.store.read("documents_idx")).first().asDict() | {"size_bytes": size, "model": self.embedder.name}
 
     def flush_all(self) -> list[dict]:

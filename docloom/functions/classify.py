@@ -105,8 +105,9 @@ def is_generated(c: Column) -> Column:
 
 
 def authority_markers(c: Column, path: Column) -> Column:
+    """What raised the authority: path-, content- and url- markers (a url marker is its pattern, slashes escaped)."""
     p, low = F.lower(path), F.lower(c)
-    found = [F.when(p.contains(m), F.lit(f"path-{m}")) for m in V.PATH_MARKERS] + [F.when(low.contains(m), F.lit(f"content-{m}")) for m in V.CONTENT_MARKERS] + [F.when(is_example(c, path), F.lit("example")), F.when(is_generated(c), F.lit("generated"))]
+    found = [F.when(p.contains(m), F.lit(f"path-{m}")) for m in V.PATH_MARKERS] + [F.when(low.contains(m), F.lit(f"content-{m}")) for m in V.CONTENT_MARKERS] + [F.when(count(c, u) > 0, F.lit("url-" + u.replace("/", r"\/"))) for u in V.URL_PATTERNS]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 

@@ -30,7 +30,10 @@ def default_vocabulary() -> Vocabulary:
 
 
 def load(table: DataFrame) -> Vocabulary:
-    """A vocabulary table as a list ordered by domain; the last row of a domain holds. Raises beyond MAX_KEYWORDS."""
+    """A vocabulary table as a list ordered by domain; the last row of a domain holds. Keywords may be JSON text. Raises beyond
+    MAX_KEYWORDS."""
+    if table.schema["keywords"].dataType.simpleString() == "string":
+        table = from_json(table)
     rows = table.select("domain", "boost_factor", "keywords").where("domain is not null").orderBy("domain").limit(MAX_KEYWORDS + 1).collect()
     out = {r["domain"]: (r["domain"], r["boost_factor"] if r["boost_factor"] is not None else 1.0, {k["keyword"]: k["weight"] for k in r["keywords"] or []}) for r in rows}
     if sum(len(k) for _, _, k in out.values()) > MAX_KEYWORDS:
@@ -38,6 +41,22 @@ def load(table: DataFrame) -> Vocabulary:
     return list(out.values())
 
 
+def domain_names(table: DataFrame) -> DataFrame:
+    """(domain), in order."""
+    return table.where("domain is not null").select("domain").distinct().orderBy("domain")
+
+
+def vocabulary_of(table: DataFrame, domain: str) -> DataFrame:
+    """The vocabulary's row of a domain; none if it has none."""
+    return table.where(F.col("domain") == domain)
+
+
+def boost_of(table: DataFrame, domain: str) -> float:
+    """A domain's boost, 1.0 without one."""
+    row = vocabulary_of(table, domain).select(F.coalesce("boost_factor", F.lit(1.0)).alias("b")).first()
+    return row["b"] if row else 1.0
+
+
 def from_json(table: DataFrame) -> DataFrame:
     """Vocabulary rows whose keywords and authority_patterns are JSON text; rows with bad JSON are left out."""
     t = table.withColumns({"keywords": F.from_json("keywords", "array<struct<keyword:string,weight:double>>"), "authority_patterns": F.from_json("authority_patterns", "array<string>")})
@@ -76,19 +95,18 @@ def _escape(s: str) -> str:
 
 
 def context_evidence(content: Column, path: Column) -> Column:
-    """Imports, manifests and container files."""
-    imported = F.concat(*[F.regexp_extract_all(F.lower(content), F.lit(p), F.lit(1)) for p in V.IMPORT_PATTERNS])
+    """Imports, manifests and container files; contents and paths are taken as they are written, what is imported in lower case."""
+    imported = F.transform(F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in V.IMPORT_PATTERNS]), F.lower)
 
     def of(m: Column) -> Column:
         return F.when(reduce(lambda a, b: a | b, [m.contains(x) for x in ("express", "react", "vue", "angular")]), F.lit("web")).when(m.contains("django") | m.contains("flask"), F.lit("py")).otherwise("")
 
     kinds = F.transform(imported, of)
     n_web, n_py = F.size(F.filter(kinds, lambda k: k == "web")), F.size(F.filter(kinds, lambda k: k == "py"))
-    p = F.lower(path)
-    node = p.contains("package.json") | content.contains('"dependencies"')
-    express = node & F.lower(content).contains("express")
-    python = ~node & (p.contains("requirements.txt") | p.contains("pipfile"))
-    docker = content.contains("FROM ") | content.contains("COPY ") | p.contains("dockerfile")
+    node = path.contains("package.json") | content.contains('"dependencies"')
+    express = node & content.contains("express")
+    python = ~node & (path.contains("requirements.txt") | path.contains("Pipfile"))
+    docker = content.contains("FROM ") | content.contains("COPY ") | path.contains("dockerfile")
     parts = F.array(
         _scored("web-frameworks", n_web * 0.3 + n_py * 0.2 + F.when(express, 0.4).otherwise(0.0)),
         _scored("python", n_py * 0.3 + F.when(python, 0.4).otherwise(0.0)),

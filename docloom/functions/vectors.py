@@ -37,7 +37,7 @@ def matrix(arr: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", block: int = 2048) -> DataFrame:
-    """(query_id, id, score): the k nearest vectors of each query; ties: smaller id first.
+    """(query_id, id, score, rank): the k nearest vectors of each query among those of its length; ties: smaller id first.
 
     The query set is stated by the caller and goes to all tasks in blocks of a fixed number of vectors; the corpus is read
     once per block and never shuffled. Each batch hands on its k best per query only, so what is shuffled for the last
@@ -49,12 +49,13 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id:
     spark = corpus.sparkSession
     q_type, i_type = queries.schema[query_id].dataType.simpleString(), corpus.schema[id].dataType.simpleString()
     if not rows:
-        return spark.createDataFrame([], f"query_id {q_type}, id {i_type}, score double")
+        return spark.createDataFrame([], f"query_id {q_type}, id {i_type}, score double, rank int")
+    by_dim: dict[int, list] = {}
+    for r in rows:
+        by_dim.setdefault(len(r["v"]), []).append(r)
     parts = []
-    for at in range(0, len(rows), block):
-        some = rows[at : at + block]
-        dim = len(some[0]["v"])
-        sent = spark.sparkContext.broadcast(([r["q"] for r in some if len(r["v"]) == dim], np.array([r["v"] for r in some if len(r["v"]) == dim], np.float64)))
+    for dim, some in ((dim, of[at : at + block]) for dim, of in sorted(by_dim.items()) for at in range(0, len(of), block)):
+        sent = spark.sparkContext.broadcast(([r["q"] for r in some], np.array([r["v"] for r in some], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, dim=dim) -> Iterator[pa.RecordBatch]:
             names, q = sent.value

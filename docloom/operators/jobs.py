@@ -78,3 +78,13 @@ def interpolated(kind: Column, part: Column, stage: Column, share: Column) -> Co
     high = F.coalesce(*[F.when(stage == s, float(b)) for s, (_, b) in INSIDE.items()], F.lit(0.0))
     inside = low + (high - low) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
     return F.when(part == "land", edge * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).otherwise(edge + (100 - edge) * inside / 100)
+
+
+def stage_progress(kind: str, part: str, stage: str, share: float) -> float:
+    """interpolated() for one event on the driver."""
+    edge = STAGES[kind][1]
+    share = max(0.0, min(1.0, share))
+    if part == "land":
+        return edge * share
+    low, high = INSIDE.get(stage, (0, 0))
+    return edge + (100 - edge) * (low + (high - low) * share) / 100

@@ -21,6 +21,11 @@ class Params:
     def to_json(self) -> str:
         return json.dumps(asdict(self))
 
+    @staticmethod
+    def reset() -> Params:
+        """The parameters at first start."""
+        return Params()
+
     @staticmethod
     def from_json(text: str) -> Params:
         return Params(**json.loads(text))

@@ -13,10 +13,11 @@ from docloom.functions.text import occurrences, query_terms
 MAX_TERMS, MAX_DOCS, MAX_AGE_DAYS = 8, 5, 30
 
 
-def term_statistics(queries: DataFrame, results: DataFrame, docs: int = MAX_DOCS) -> DataFrame:
+def term_statistics(queries: DataFrame, results: DataFrame, total: int, docs: int = MAX_DOCS) -> DataFrame:
     """(query_id, term, term_pos, n_docs, df, total_tf, avg_tf, tfidf) of each query's terms in its best results.
 
-    queries: query_id, query. results: query_id, rank, content. Queries without results or terms, or with more than
+    queries: query_id, query. results: query_id, rank, content. total: documents in the index, N of the weight; n_docs and df count
+    the analysed results. Queries without results or terms, or with more than
     MAX_TERMS terms, give no row. The join is on query_id; a query meets at most docs results.
     """
     best = results.where(F.col("rank") <= docs).select("query_id", F.lower(F.coalesce("content", F.lit(""))).alias("content"))
@@ -24,11 +25,12 @@ def term_statistics(queries: DataFrame, results: DataFrame, docs: int = MAX_DOCS
     met = terms.join(best, "query_id").withColumn("n", occurrences(F.col("content"), F.col("term")))
     g = met.groupBy("query_id", "term", "term_pos").agg(F.count("*").alias("n_docs"), F.sum((F.col("n") > 0).cast("int")).alias("df"), F.sum("n").alias("total_tf"))
     avg = F.when(F.col("df") > 0, F.col("total_tf") / F.col("df")).otherwise(0.0)
-    return g.withColumn("avg_tf", avg).withColumn("tfidf", F.col("avg_tf") * F.log((F.col("n_docs") + 1) / (F.col("df") + 1)))
+    return g.withColumn("avg_tf", avg).withColumn("tfidf", F.col("avg_tf") * F.log((F.lit(total) + 1) / (F.col("df") + 1)))
 
 
 def is_essential(query: Column, term: Column) -> Column:
-    return F.lower(query).contains(F.concat(F.lit('"'), term, F.lit('"'))) | term.isin(V.ESSENTIAL_TERMS)
+    """A term that stands in quotes in the query, as it is written there, or a common word of programming."""
+    return query.contains(F.concat(F.lit('"'), term, F.lit('"'))) | F.lower(term).isin(V.ESSENTIAL_TERMS)
 
 
 def removable(threshold: float = V.THRESHOLD_START) -> Column:
@@ -41,14 +43,15 @@ def related(a: Column, b: Column) -> Column:
     return (a != b) & (a.contains(b) | b.contains(a) | reduce(lambda x, y: x | y, pairs))
 
 
-def recommend(queries: DataFrame, results: DataFrame, threshold: float = V.THRESHOLD_START, now: Column | None = None) -> DataFrame:
-    """One row per query that can be improved: suggested_terms, suggestion_strategy, confidence, generated_at, expires_at.
+def recommend(queries: DataFrame, results: DataFrame, total: int, threshold: float = V.THRESHOLD_START, now: Column | None = None) -> DataFrame:
+    """One row per query that can be improved: suggested_terms, suggestion_strategy, confidence, generated_at, expires_at,
+    total_documents, analyzed_documents (the terms looked at).
 
-    The lightest removable term is taken out if more than two terms stay; else it is replaced by the heaviest related term
-    over 2; else up to two terms over 3 in at least two results are added.
+    If the query has more than two terms, its lightest removable one is taken out; else the heaviest related term over 2 is
+    suggested alone; else up to two terms over 3 in at least two results, lightest first, are added.
     """
     now = now if now is not None else F.current_timestamp()
-    stats = term_statistics(queries, results).join(queries.select("query_id", "query"), "query_id")
+    stats = term_statistics(queries, results, total).join(queries.select("query_id", "query"), "query_id")
     stats = stats.withColumn("removable", removable(threshold))
     order = F.struct("tfidf", "term_pos")
     # at most MAX_TERMS rows per query
@@ -65,9 +68,9 @@ def recommend(queries: DataFrame, results: DataFrame, threshold: float = V.THRES
     per = per.withColumns({"_all": by_pos, "_best": best, "_more": more})
     safe = F.size("_all") > 2
     out = per.withColumn("suggestion_strategy", F.when(safe, "removal").when(F.col("_best").isNotNull(), "refinement").when(F.size("_more") > 0, "contextual_addition")).where("suggestion_strategy is not null")
-    suggested = F.when(safe, F.filter("_all", lambda t: t != bad)).when(F.col("_best").isNotNull(), F.transform("_all", lambda t: F.when(t == bad, F.col("_best")).otherwise(t))).otherwise(F.concat("_all", "_more"))
+    suggested = F.when(safe, F.filter("_all", lambda t: t != bad)).when(F.col("_best").isNotNull(), F.array(F.col("_best"))).otherwise(F.concat("_all", "_more"))
     conf = F.when(safe, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bad.tfidf") / 5))).when(F.col("_best").isNotNull(), 0.7).otherwise(0.6)
-    return out.select("query_id", "query", suggested.alias("suggested_terms"), "suggestion_strategy", F.lit(threshold).alias("tfidf_threshold"), conf.alias("confidence"), now.alias("generated_at"), (now + F.expr(f"interval {MAX_AGE_DAYS} days")).alias("expires_at"), F.size("_all").alias("analyzed_documents"))
+    return out.select("query_id", "query", suggested.alias("suggested_terms"), "suggestion_strategy", F.lit(threshold).alias("tfidf_threshold"), conf.alias("confidence"), now.alias("generated_at"), (now + F.expr(f"interval {MAX_AGE_DAYS} days")).alias("expires_at"), F.lit(total).cast("int").alias("total_documents"), F.size("_all").alias("analyzed_documents"))
 
 
 def cached(recommendations: DataFrame, now: Column) -> DataFrame:

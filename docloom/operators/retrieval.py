@@ -16,9 +16,9 @@ from docloom.functions.vectors import matrix
 from docloom.schemas import SearchOptions
 
 
-def knn(chunks: DataFrame, vector: list[float], limit: int = 10, mode: str = "similarity", vector_col: str = "embedding", id_col: str = "chunk_id") -> DataFrame:
+def knn(chunks: DataFrame, vector: list[float], limit: int = 10, mode: str = "similarity", vector_col: str = "embedding", id_col: str = "chunk_id", one_per_id: bool = False) -> DataFrame:
     """The limit nearest rows with their score; ties: smaller id. Rows whose vector has another size, a null or no finite
-    number take no part.
+    number take no part. one_per_id: rows of one id are one, the nearest of them.
 
     Distances are matrix products over Arrow batches; a batch hands on its best rows only (all that tie with the last), so
     the final TakeOrderedAndProject sees batches x limit rows. Select the columns wanted before, they go through Python.
@@ -38,13 +38,23 @@ def knn(chunks: DataFrame, vector: list[float], limit: int = 10, mode: str = "si
                 key = -s
             else:
                 key = s = np.sqrt(((x - q) ** 2).sum(1))
-            last = np.partition(key, min(limit, len(key)) - 1)[min(limit, len(key)) - 1]
+            each = key
+            if one_per_id:
+                ids = b.column(id_col).take(pa.array(rows)).dictionary_encode().indices.fill_null(-1).to_numpy()
+                order = np.argsort(key, kind="stable")
+                each = key[order][np.unique(ids[order], return_index=True)[1]]  # the best of each id
+            last = np.partition(each, min(limit, len(each)) - 1)[min(limit, len(each)) - 1]
             at = np.flatnonzero(key <= last)
             best = b.take(pa.array(rows[at]))
             yield pa.RecordBatch.from_arrays([*best.columns, pa.array(s[at])], names=[*best.schema.names, "score"])
 
     order = F.desc("score") if mode == "similarity" else F.asc("score")
-    return chunks.mapInArrow(run, schema).orderBy(order, id_col).limit(max(1, limit))
+    found = chunks.mapInArrow(run, schema)
+    if one_per_id:
+        rest = [c for c in found.columns if c != id_col]
+        best = (F.max_by if mode == "similarity" else F.min_by)(F.struct(*rest), "score")
+        found = found.groupBy(id_col).agg(best.alias("x")).select(*[F.col(id_col) if c == id_col else F.col(f"x.{c}").alias(c) for c in found.columns])
+    return found.orderBy(order, id_col).limit(max(1, limit))
 
 
 def with_score_at_least(hits: DataFrame, least: float) -> DataFrame:
@@ -113,6 +123,16 @@ def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(by, F.xxhash64(*[c for c in df.columns if c != "embedding"]))).alias("x")).select(*[F.col(k) if c in keys else F.col(f"x.{c}").alias(c) for c in df.columns for k in [c]])
 
 
+def chunk_by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:
+    """The chunk of an id, without vector; of several deliveries the newest. No row for an unknown id."""
+    return latest(chunks.where(F.col("chunk_id") == chunk_id).drop("embedding"), ["chunk_id"], "created_at")
+
+
+def metadata_of(metadata: DataFrame, chunk_id: str) -> DataFrame:
+    """The newest metadata of a chunk. No row for an unknown id."""
+    return latest(metadata.where(F.col("chunk_id") == chunk_id), ["chunk_id"], "created_at")
+
+
 def context_window(chunks: DataFrame, targets: DataFrame, size: int = 3) -> DataFrame:
     """(target_id, file_path, position, chunk_id, ...): the chunks around each target, by position in its file.
 

@@ -12,7 +12,7 @@ def index_statistics(documents: DataFrame) -> DataFrame:
 
 def file_rollup(chunks: DataFrame) -> DataFrame:
     """Per file: chunks, tokens, time of its first chunk, and name."""
-    return chunks.groupBy("file_path").agg(F.count("*").alias("total_chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("total_tokens"), F.min_by("created_at", "chunk_index").alias("last_modified")).withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
+    return chunks.groupBy("file_path").agg(F.count("*").alias("total_chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("total_tokens"), F.min_by("created_at", F.struct("chunk_index", "created_at")).alias("last_modified")).withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
 
 
 def distinct_files(chunks: DataFrame) -> DataFrame:

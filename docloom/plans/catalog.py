@@ -23,7 +23,7 @@ from docloom.operators import jobs, learning, recommend, retrieval, statistics
 from docloom.schemas import ChunkingConfig, SearchOptions
 from docloom.sources import store
 from docloom.sources.embedding import HashingEmbedder, embed, embed_query
-from docloom.sources.session import ship, spread
+from docloom.sources.session import shared_folder, ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,12 +65,12 @@ def trim_sql(c: str) -> str:
 
 
 EXT_SQL = r"lower(regexp_extract(string_split(file_path, '/')[-1], '[^/]\.([^./]+)$', 1))"
-#: Distinct contents by chunk, with extension; null counts as empty.
+#: Distinct contents by chunk, with extension; null counts as empty. The plans below make the small results distinct, not the contents.
 BASE = f"base AS (SELECT DISTINCT chunk_id, file_path, coalesce(content, '') AS c, {EXT_SQL} AS ext FROM chunks)"
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "chunks").select("chunk_id", "file_path", F.coalesce("content", F.lit("")).alias("c"), X.extension(F.col("file_path")).alias("ext")).distinct()
+    return spread(t(spark, d, "chunks").select("chunk_id", "file_path", F.coalesce("content", F.lit("")).alias("c"), X.extension(F.col("file_path")).alias("ext")))
 
 
 def joined(c: Column) -> Column:
@@ -103,6 +103,12 @@ def knn_cosine_top10(spark, d):
     return retrieval.knn(t(spark, d, "embeddings"), first_vector(spark, d), 10, "similarity", id_col="vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {Q0} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine, round(list_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q")
+def cosine_and_distance(spark, d):
+    q = F.array(*[F.lit(float(x)) for x in first_vector(spark, d)])
+    return t(spark, d, "embeddings").select("vec_id", F.round(vectors.cosine(F.col("embedding"), q), 6).alias("cosine"), F.round(vectors.l2(F.col("embedding"), q), 6).alias("distance"))
+
+
 @query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
 SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s, id) AS rank FROM s QUALIFY rank <= 5""")
 def knn_batch_top5_per_query(spark, d):
@@ -122,8 +128,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     usable = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
     sized = c.where((F.size("embedding") == 512) & F.exists("embedding", lambda x: x != 0))
     q = sized.where(usable).orderBy("chunk_id").select("embedding").first()[0]
-    # as many rows of a chunk as there are deliveries may be among the hits
-    top = retrieval.knn(sized, q, 1000).select("chunk_id", "score").dropDuplicates(["chunk_id"]).orderBy(F.desc("score"), "chunk_id").limit(200)
+    top = retrieval.knn(sized, q, 200, one_per_id=True).select("chunk_id", "score")
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "chunk_id")))  # 200 rows
     meta = t(spark, d, "content_metadata").select("chunk_id", "content_type", "language", "domain_tags", "quality_score", "source_authority", "created_at")
     return retrieval.join_metadata(top, meta).drop("created_at")
@@ -148,11 +153,11 @@ def search_avg_score(spark, d):
 
 @query("""WITH r AS (SELECT DISTINCT id, query, total_documents, tfidf_threshold, confidence FROM search_recommendations),
 w AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(lower(query), '"([^"]*)"|(\\S+)'), lambda x: CASE WHEN regexp_matches(x, '^"[^"]*"$') THEN substr(x, 2, length(x) - 2) ELSE x END), lambda x: length(x) > 1)) AS terms FROM r)
-SELECT id, coalesce(total_documents < 3, false) OR coalesce(confidence < tfidf_threshold, false) OR coalesce(len(terms) > 5, false) AS needed FROM w""")
+SELECT id, coalesce(total_documents < 3, false) OR coalesce(confidence, 1.0) < coalesce(tfidf_threshold, 0.0) OR coalesce(len(terms) > 5, false) AS needed FROM w""")
 def search_trigger_flag(spark, d):
     r = t(spark, d, "search_recommendations").select("id", "query", "total_documents", "tfidf_threshold", "confidence").distinct()
-    parts = [F.coalesce(c, F.lit(False)) for c in (F.col("total_documents") < 3, F.col("confidence") < F.col("tfidf_threshold"), F.size(X.query_terms(F.col("query"))) > 5)]
-    return r.select("id", (parts[0] | parts[1] | parts[2]).alias("needed"))
+    rule = retrieval.needs_recommendation(F.coalesce("total_documents", F.lit(3)), F.coalesce("confidence", F.lit(1.0)), F.coalesce("tfidf_threshold", F.lit(0.0)), F.coalesce(F.size(X.query_terms(F.col("query"))), F.lit(0)))
+    return r.select("id", rule.alias("needed"))
 
 
 BOOSTS = {"web-frameworks": (0.6, 1.5), "databases": (0.4, 1.3), "python": (0.5, 1.2)}
@@ -199,11 +204,14 @@ def windows_sql(joined_sql: str) -> str:
 SELECT file_path, file_path || ':' || (o // 800) AS chunk_id, (o // 800)::BIGINT AS chunk_index, md5(substr(j, o + 1, 1000)) AS h, strlen(j)::BIGINT AS file_size, o::BIGINT AS chunk_offset, ceil(length(substr(j, o + 1, 1000)) / 4)::BIGINT AS token_count FROM w"""
 
 
-def chunked(spark, d, method: str) -> DataFrame:
-    out = chunk(docs(spark, d), ChunkingConfig(method=method))
+def as_chunks(out: DataFrame) -> DataFrame:
     return out.select("file_path", "chunk_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("h"), F.col("file_size").cast("long").alias("file_size"), F.col("chunk_offset").cast("long").alias("chunk_offset"), F.col("token_count").cast("long").alias("token_count"))
 
 
+def chunked(spark, d, method: str) -> DataFrame:
+    return as_chunks(chunk(docs(spark, d), ChunkingConfig(method=method)))
+
+
 @query(f"WITH {DOCS}, " + windows_sql(f"SELECT file_path, array_to_string(list_filter(regexp_split_to_array(c, '[.!?]+\\s+'), lambda x: {trim_sql('x')} <> ''), ' ') AS j FROM docs"))
 def chunk_sentence(spark, d):
     return chunked(spark, d, "sentence-aware")
@@ -269,10 +277,7 @@ def index_statistics(spark, d):
 @query("SELECT file_path, count(*) AS total_chunks, coalesce(sum(token_count), 0)::BIGINT AS total_tokens, string_split(file_path, '/')[-1] AS file_name, min(epoch_us(created_at)) FILTER (chunk_index = lowest) AS first_us FROM (SELECT *, min(chunk_index) OVER (PARTITION BY file_path) AS lowest FROM chunks) GROUP BY file_path")
 def chunk_stats_by_file(spark, d):
     c = t(spark, d, "chunks")
-    roll = statistics.file_rollup(c).drop("last_modified")
-    w = Window.partitionBy("file_path").orderBy("chunk_index", "created_at")
-    first = c.withColumn("r", F.row_number().over(w)).where("r = 1").select("file_path", F.unix_micros("created_at").alias("first_us"))
-    return roll.join(first, "file_path").select("file_path", "total_chunks", "total_tokens", "file_name", "first_us")
+    return statistics.file_rollup(c).select("file_path", "total_chunks", "total_tokens", "file_name", F.unix_micros("last_modified").alias("first_us"))
 
 
 @query("SELECT count(DISTINCT file_path) AS files FROM chunks")
@@ -282,12 +287,15 @@ def distinct_files(spark, d):
 
 @query("SELECT chunk_id, chunk_index, chunk_offset, epoch_us(created_at) AS us FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST, chunk_offset DESC NULLS LAST) = 1")
 def upsert_chunks(spark, d):
-    """The first deliveries of all chunks, then the later ones as an upsert; the newest of each chunk holds."""
-    c = t(spark, d, "chunks").select("chunk_id", "chunk_index", "chunk_offset", "created_at")
+    """The first deliveries of all chunks stored, then the later ones as an upsert; the newest of each chunk holds."""
+    c = t(spark, d, "chunks")
     w = Window.partitionBy("chunk_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("chunk_offset").desc_nulls_last())
-    ranked = c.withColumn("r", F.row_number().over(w))
-    again = ranked.where("r = 1").drop("r")
-    return store.upsert(ranked.where("r > 1").drop("r"), again, ["chunk_id"]).select("chunk_id", "chunk_index", "chunk_offset", F.unix_micros("created_at").alias("us"))
+    ranked = c.select("chunk_id", "chunk_index", "chunk_offset", "created_at", "file_path", "token_count").withColumn("r", F.row_number().over(w))
+    ranked = ranked.withColumns({"content": F.lit(None).cast("string"), "embedding": F.lit(None).cast("array<float>")})
+    held = store.Store(spark, shared_folder(spark))
+    held.write("chunks", ranked.where("r > 1").drop("r"))
+    held.upsert("chunks", ranked.where("r = 1").drop("r"), ["chunk_id"])
+    return held.read("chunks").select("chunk_id", "chunk_index", "chunk_offset", F.unix_micros("created_at").alias("us"))
 
 
 BIG = "(SELECT file_path FROM chunks GROUP BY 1 ORDER BY count(*) DESC, file_path LIMIT 1)"
@@ -299,12 +307,18 @@ def biggest(spark, d) -> str:
 
 @query(f"SELECT file_path, count(*) AS n FROM chunks WHERE file_path <> {BIG} GROUP BY 1")
 def delete_file(spark, d):
-    return t(spark, d, "chunks").where(~F.coalesce(F.col("file_path") == biggest(spark, d), F.lit(False))).groupBy("file_path").agg(F.count("*").alias("n"))
+    held = store.Store(spark, shared_folder(spark))
+    held.write("chunks", t(spark, d, "chunks"))
+    held.delete_file(biggest(spark, d))
+    return held.read("chunks").groupBy("file_path").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS rows FROM chunks WHERE false")
+@query("SELECT count(*) AS rows FROM documents_idx WHERE false")
 def clear_index(spark, d):
-    return spark.createDataFrame([], t(spark, d, "chunks").schema).agg(F.count("*").alias("rows"))
+    held = store.Store(spark, shared_folder(spark))
+    held.write("documents_idx", t(spark, d, "documents_idx"))
+    held.clear("documents_idx")
+    return held.read("documents_idx").agg(F.count("*").alias("rows"))
 
 
 @query(f"SELECT chunk_id, chunk_index, md5(coalesce(content, '')) AS h FROM chunks WHERE file_path = {BIG} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST) = 1")
@@ -312,16 +326,16 @@ def file_chunks_ordered(spark, d):
     return retrieval.file_chunks(t(spark, d, "chunks"), biggest(spark, d)).select("chunk_id", "chunk_index", F.md5(F.coalesce("content", F.lit(""))).alias("h"))
 
 
-@query("SELECT chunk_id, file_path, chunk_index FROM chunks WHERE chunk_id = (SELECT min(chunk_id) FROM chunks)")
+@query("SELECT DISTINCT chunk_id, file_path, chunk_index FROM chunks WHERE chunk_id = (SELECT min(chunk_id) FROM chunks)")
 def point_lookup(spark, d):
     c = t(spark, d, "chunks")
-    return c.where(F.col("chunk_id") == c.agg(F.min("chunk_id")).first()[0]).select("chunk_id", "file_path", "chunk_index")
+    return retrieval.chunk_by_id(c, c.agg(F.min("chunk_id")).first()[0]).select("chunk_id", "file_path", "chunk_index")
 
 
-@query("SELECT chunk_id, content_type, quality_score, has_comments FROM content_metadata WHERE chunk_id = (SELECT min(chunk_id) FROM content_metadata)")
+@query("SELECT chunk_id, content_type, quality_score, has_comments FROM content_metadata WHERE chunk_id = (SELECT min(chunk_id) FROM content_metadata) QUALIFY row_number() OVER (ORDER BY created_at DESC NULLS LAST) = 1")
 def metadata_lookup(spark, d):
     m = t(spark, d, "content_metadata")
-    return m.where(F.col("chunk_id") == m.agg(F.min("chunk_id")).first()[0]).select("chunk_id", "content_type", "quality_score", "has_comments")
+    return retrieval.metadata_of(m, m.agg(F.min("chunk_id")).first()[0]).select("chunk_id", "content_type", "quality_score", "has_comments")
 
 
 @query("SELECT m.chunk_id, count(*) AS n FROM content_metadata m SEMI JOIN chunks c ON m.chunk_id = c.chunk_id GROUP BY 1")
@@ -331,14 +345,19 @@ def metadata_of_known_chunks(spark, d):
 
 # ---- text
 
-def _text_query(name: str, f: Callable[[Column], Column], sql: str, ext: list[str] | None = None) -> None:
-    where = f" WHERE ext IN ({', '.join(map(lit, ext))})" if ext else ""
+def _text_query(name: str, f: Callable[[Column, Column], Column], sql: str) -> None:
+    """f of content and language by extension, over all chunks."""
 
-    @query(f"WITH {BASE} SELECT chunk_id, md5({sql}) AS h, length({sql})::BIGINT AS n FROM base{where}", name=name)
+    @query(f"WITH {BASE} SELECT chunk_id, md5({sql}) AS h, length({sql})::BIGINT AS n FROM base", name=name)
     def run(spark, d):
-        b = base(spark, d)
-        b = b.where(F.col("ext").isin(ext)) if ext else b
-        return b.withColumn("r", f(F.col("c"))).select("chunk_id", F.md5("r").alias("h"), F.length("r").cast("long").alias("n"))
+        return base(spark, d).withColumn("r", f(F.col("c"), by_extension(F.col("ext")))).select("chunk_id", F.md5("r").alias("h"), F.length("r").cast("long").alias("n")).distinct()
+
+
+def by_extension(ext: Column) -> Column:
+    return F.coalesce(*[F.when(ext == k, F.lit(v)) for k, v in V.EXT_LANGUAGE.items()], F.lit("unknown"))
+
+
+LANG_SQL = "CASE ext " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in V.EXT_LANGUAGE.items()) + " ELSE 'unknown' END"
 
 
 def sub(c: str, p: str, to: str) -> str:
@@ -352,39 +371,40 @@ def chain(steps: list[tuple[str, str]], c: str = "c") -> str:
 
 
 CODE_STRIP = chain([(r"/\*[\s\S]*?\*/", ""), (r"//[^\r\n]*", ""), (r"^#!", ""), (r"(?m)^#[^\r\n]*", "")])
-_text_query("strip_code_comments", X.strip_code_comments, CODE_STRIP, ["js", "ts", "java", "c", "cpp"])
-_text_query("strip_css_comments", X.strip_css_comments, sub("c", r"/\*[\s\S]*?\*/", ""))
-_text_query("strip_html_comments", X.strip_markup_comments, sub("c", r"<!--[\s\S]*?-->", ""))
+_text_query("strip_code_comments", lambda c, _: X.strip_code_comments(c), CODE_STRIP)
+_text_query("strip_css_comments", lambda c, _: X.strip_css_comments(c), sub("c", r"/\*[\s\S]*?\*/", ""))
+_text_query("strip_html_comments", lambda c, _: X.strip_markup_comments(c), sub("c", r"<!--[\s\S]*?-->", ""))
 _PREP = trim_sql("c")
-_text_query("embedding_prep_text", X.embedding_text, sub(f"CASE WHEN length({_PREP}) > 2000 THEN substr({_PREP}, 1, 1997) || '...' ELSE {_PREP} END", r"\s+", " "))
-_text_query("whitespace_normalise", E.normalise_whitespace, chain([(r"[ \t]+", " "), (r"\n +", "\n"), (r"\n{3,}", "\n\n")]))
+_text_query("embedding_prep_text", lambda c, _: X.embedding_text(c), sub(f"CASE WHEN length({_PREP}) > 2000 THEN substr({_PREP}, 1, 1997) || '...' ELSE {_PREP} END", r"\s+", " "))
+_text_query("whitespace_normalise", lambda c, _: E.normalise_whitespace(c), chain([(r"[ \t]+", " "), (r"\n +", "\n"), (r"\n{3,}", "\n\n")]))
 MD = [(r"#{1,6}\s*([^\n]+)", r"[HEADER: \1]"), (r"\*\*([^\n]+?)\*\*", r"[BOLD: \1]"), (r"\*([^\n]+?)\*", r"[ITALIC: \1]"), (r"`([^\n]+?)`", r"[CODE: \1]")]
-_text_query("md_normalise", E.normalise_markdown, chain(MD))
-_text_query("key_concepts", E.mark_key_concepts, chain([(rf"(?i)\b({k})\b", r"[KEY: \1]") for k in V.KEY_TERMS]))
-_text_query("readability", E.readability, chain([(r"([.!?])\s*([A-Z])", r"\1 \2"), (r"([,;])\s*([a-zA-Z])", r"\1 \2"), (r"\s{2,}", " "), (r"\n\s*\n\s*\n", "\n\n")]))
-_text_query("docs_readability", E.documentation_readability, chain([(r"\n{4,}", "\n\n\n"), (r"[ \t]{3,}", "  "), (r"([.!?])\s*\n\s*([A-Z])", "\\1\n\n\\2")]))
+_text_query("md_normalise", lambda c, _: E.normalise_markdown(c), chain(MD))
+_text_query("key_concepts", lambda c, _: E.mark_key_concepts(c), chain([(rf"(?i)\b({k})\b", r"[KEY: \1]") for k in V.KEY_TERMS]))
+_text_query("readability", lambda c, _: E.readability(c), chain([(r"([.!?])\s*([A-Z])", r"\1 \2"), (r"([,;])\s*([a-zA-Z])", r"\1 \2"), (r"\s{2,}", " "), (r"\n\s*\n\s*\n", "\n\n")]))
+_text_query("docs_readability", lambda c, _: E.documentation_readability(c), chain([(r"\n{4,}", "\n\n\n"), (r"[ \t]{3,}", "  "), (r"([.!?])\s*\n\s*([A-Z])", "\\1\n\n\\2")]))
 _UNI = chain([(r"\\\\+", r"\\"), ("\r\n", "\n"), (r"(?m)[ \t]+$", ""), (r"\n{4,}", "\n\n\n")])
 for _bad, _good in V.MOJIBAKE:
     _UNI = f"replace({_UNI}, {lit(_bad)}, {lit(_good)})"
-_text_query("universal_normalise", E.universal, _UNI)
-_text_query("identifier_markup", lambda c: E.mark_identifiers(c, F.lit("python")), chain([(r"\b(def\s+)(\w+)", r"\1[FUNCTION: \2]"), (r"\b(class\s+)(\w+)", r"\1[CLASS: \2]")]), ["py"])
-_text_query("identifier_markup_script", lambda c: E.mark_identifiers(c, F.lit("typescript")), chain([(r"\b(export\s+(?:default\s+)?(?:class|function|const|let|var)\s+)(\w+)", r"\1[IDENTIFIER: \2]"), (r"\b(import\s+[^\n]*?\s+from\s+['\"`])([^'\"`]+)(['\"`])", r"\1[MODULE: \2]\3")]), ["ts"])
-_text_query("syntax_noise_reduce", lambda c: E.reduce_syntax_noise(c, F.lit("typescript")), chain([(";{2,}", ";"), (r"\){2,}", ")")]), ["ts"])
+_text_query("universal_normalise", lambda c, _: E.universal(c), _UNI)
+_SCRIPT_IDS = chain([(r"\b(export\s+(?:default\s+)?(?:class|function|const|let|var)\s+)(\w+)", r"\1[IDENTIFIER: \2]"), (r"\b(import\s+[^\n]*?\s+from\s+['\"`])([^'\"`]+)(['\"`])", r"\1[MODULE: \2]\3")])
+_PYTHON_IDS = chain([(r"\b(def\s+)(\w+)", r"\1[FUNCTION: \2]"), (r"\b(class\s+)(\w+)", r"\1[CLASS: \2]")])
+_text_query("identifier_markup", E.mark_identifiers, f"CASE WHEN {LANG_SQL} IN ('javascript', 'typescript') THEN {_SCRIPT_IDS} WHEN {LANG_SQL} = 'python' THEN {_PYTHON_IDS} ELSE c END")
+_text_query("syntax_noise_reduce", E.reduce_syntax_noise, f"CASE WHEN {LANG_SQL} IN ('javascript', 'typescript') THEN {chain([(';{2,}', ';'), (r'\){2,}', ')')])} ELSE c END")
 
 
-@query(f"""WITH {BASE} SELECT chunk_id, ext, md5(CASE WHEN ext IN ('js', 'ts', 'java', 'c', 'cpp') THEN {CODE_STRIP} WHEN ext IN ('css', 'scss') THEN {sub('c', r'/\*[\s\S]*?\*/', '')} WHEN ext IN ('html', 'xml') THEN {sub('c', r'<!--[\s\S]*?-->', '')} ELSE c END) AS h FROM base WHERE ext <> 'json'""")
-def postprocess_dispatch(spark, d):
-    return base(spark, d).where("ext <> 'json'").select("chunk_id", "ext", F.md5(X.post_process(F.col("c"), F.col("ext"))).alias("h"))
 
+@query(f"""WITH {BASE} SELECT chunk_id, ext, md5(CASE WHEN ext IN ('js', 'ts', 'java', 'c', 'cpp') THEN {CODE_STRIP} WHEN ext IN ('css', 'scss') THEN {sub('c', r'/\*[\s\S]*?\*/', '')} WHEN ext IN ('html', 'xml') THEN {sub('c', r'<!--[\s\S]*?-->', '')} WHEN ext = 'json' THEN regexp_replace(c, '\\s+', '', 'g') ELSE c END) AS h FROM base""")
+def postprocess_dispatch(spark, d):
+    """All chunks; what was formatted as JSON is compared without white space, as SQL cannot format it."""
+    r = X.post_process(F.col("c"), F.col("ext"))
+    b = base(spark, d).withColumn("r", r)
+    return b.select("chunk_id", "ext", F.md5(F.when(F.col("ext") == "json", F.regexp_replace("r", r"\s+", "")).otherwise(F.col("r"))).alias("h")).distinct()
 
-def _list_query(name: str, f: Callable[[Column], Column], sql: str, ext: list[str] | None = None) -> None:
-    where = f" WHERE ext IN ({', '.join(map(lit, ext))})" if ext else ""
 
-    @query(f"WITH {BASE} SELECT chunk_id, array_to_string({sql}, '|') AS items FROM base{where}", name=name)
+def _list_query(name: str, f: Callable[[Column, Column], Column], sql: str) -> None:
+    @query(f"WITH {BASE} SELECT chunk_id, array_to_string({sql}, '|') AS items FROM base", name=name)
     def run(spark, d):
-        b = base(spark, d)
-        b = b.where(F.col("ext").isin(ext)) if ext else b
-        return b.select("chunk_id", joined(f(F.col("c"))).alias("items"))
+        return base(spark, d).select("chunk_id", joined(f(F.col("c"), by_extension(F.col("ext")))).alias("items")).distinct()
 
 
 def first_kept(sql: str) -> str:
@@ -392,16 +412,25 @@ def first_kept(sql: str) -> str:
     return f"list_filter({sql}, lambda x, i: list_position({sql}, x) = i)"
 
 
-_list_query("yaml_keys", E.yaml_keys, r"list_filter(list_transform(string_split(c, chr(10)), lambda x: regexp_extract(x, '^\s*([a-zA-Z0-9_-]+)\s*:', 1)), lambda k: k <> '')", ["yaml"])
-_list_query("xml_tags", E.xml_tags, first_kept(r"regexp_extract_all(c, '<([a-zA-Z0-9_-]+)(?:\s|>)', 1)"), ["html"])
-_list_query("config_keys", E.config_keys, r"regexp_extract_all(c, '(?m)^([a-zA-Z0-9_-]+)\s*[=:]', 1)", ["env", "ini", "toml"])
-_list_query("config_terms", E.config_terms, first_kept("list_concat(list_concat(" + ", ".join(f"regexp_extract_all(lower(c), {lit(p)})" for p in V.CONFIG_TERMS[:2]) + f"), regexp_extract_all(lower(c), {lit(V.CONFIG_TERMS[2])}))"))
-_list_query("comment_extract", lambda c: E.comments(c, F.lit("python")), "list_filter(list_transform(list_concat(list_concat(" + ", ".join(f"regexp_extract_all(c, {lit(p)}, 1)" for p in V.COMMENTS_OF["python"][:2]) + f"), regexp_extract_all(c, {lit(V.COMMENTS_OF['python'][2])}, 1)), lambda x: {trim_sql('x')}), lambda x: length(x) > 5)", ["py"])
+_list_query("yaml_keys", lambda c, _: E.yaml_keys(c), r"list_filter(list_transform(string_split(c, chr(10)), lambda x: regexp_extract(x, '^\s*([a-zA-Z0-9_-]+)\s*:', 1)), lambda k: k <> '')")
+_list_query("xml_tags", lambda c, _: E.xml_tags(c), first_kept(r"regexp_extract_all(c, '<([a-zA-Z0-9_-]+)(?:\s|>)', 1)"))
+_list_query("config_keys", lambda c, _: E.config_keys(c), r"regexp_extract_all(c, '(?m)^([a-zA-Z0-9_-]+)\s*[=:]', 1)")
+_list_query("config_terms", lambda c, _: E.config_terms(c), first_kept("list_concat(list_concat(" + ", ".join(f"regexp_extract_all(lower(c), {lit(p)})" for p in V.CONFIG_TERMS[:2]) + f"), regexp_extract_all(lower(c), {lit(V.CONFIG_TERMS[2])}))"))
+def _comments_sql(kind: str) -> str:
+    found = [f"regexp_extract_all(c, {lit(p)}, 1)" for p in V.COMMENTS_OF[kind]]
+    every = found[0]
+    for f in found[1:]:
+        every = f"list_concat({every}, {f})"
+    return f"list_filter(list_transform({every}, lambda x: {trim_sql('x')}), lambda x: length(x) > 5)"
+
+
+_list_query("comment_extract", E.comments, "CASE " + " ".join(f"WHEN {LANG_SQL} IN ({', '.join(lit(x) for x, k in V.COMMENT_KIND.items() if k == kind)}) THEN {_comments_sql(kind)}" for kind in V.COMMENTS_OF) + " ELSE []::VARCHAR[] END")
+
 
 
 @query(f"WITH {BASE} SELECT chunk_id, {' OR '.join(has(p) for p in V.DOC_FLAGS)} AS documented FROM base")
 def documentation_flag(spark, d):
-    return base(spark, d).select("chunk_id", E.has_documentation(F.col("c")).alias("documented"))
+    return base(spark, d).select("chunk_id", E.has_documentation(F.col("c")).alias("documented")).distinct()
 
 
 @query(f"""WITH {BASE}, l AS (SELECT chunk_id, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1) AS i FROM base),
@@ -411,13 +440,13 @@ s AS (SELECT chunk_id, grp, kind, string_agg(line || chr(10), '' ORDER BY i) AS
 SELECT chunk_id, string_agg(kind || length(t), '|' ORDER BY grp) AS items FROM s WHERE length({trim_sql('t')}) > 0 GROUP BY 1""")
 def section_split(spark, d):
     s = F.transform(E.sections(F.col("c")), lambda x: F.concat(x["kind"], F.length(x["content"]).cast("string")))
-    return base(spark, d).select("chunk_id", joined(s).alias("items")).where("items <> ''")
+    return base(spark, d).select("chunk_id", joined(s).alias("items")).where("items <> ''").distinct()
 
 
 @query(f"""WITH {BASE}, p AS (SELECT *, string_split(file_path, '/') AS parts FROM base)
 SELECT chunk_id, '[Context: File: ' || parts[-1] || ' | Location: ' || array_to_string(list_filter(parts[:-2], lambda x: x <> '')[-2:], '/') || ' | Type: code (x)' || CASE WHEN ext <> '' THEN ' | Format: ' || ext ELSE '' END || ']' || chr(10) || chr(10) AS header FROM p""")
 def context_header(spark, d):
-    return base(spark, d).select("chunk_id", E.context_header(F.col("file_path"), F.lit("code"), F.lit("x"), F.col("ext")).alias("header"))
+    return base(spark, d).select("chunk_id", E.context_header(F.col("file_path"), F.lit("code"), F.lit("x"), F.col("ext")).alias("header")).distinct()
 
 
 REC = "r AS (SELECT DISTINCT id, query FROM search_recommendations WHERE query IS NOT NULL)"
@@ -446,12 +475,13 @@ def query_hash(spark, d):
 
 
 URLS = ["https://github.com/acme/tool.git", "https://github.com/acme/tool", "https://dev.azure.com/org/project/_git/repo", "git@host:acme/tool.git", "https://org.visualstudio.com/project/_git/repo", "plain", ""]
-_URLS = "u AS (SELECT unnest([" + ", ".join(map(lit, URLS)) + "]) AS url), b AS (SELECT url, regexp_replace(url, '\\.git$', '') AS bare FROM u), p AS (SELECT *, string_split(bare, '/') AS parts, list_filter(string_split(bare, '/'), lambda x: x <> '') AS f FROM b), a AS (SELECT *, coalesce(list_position(f, '_git'), 0) AS g FROM p)"
+_URLS = "u AS (SELECT unnest([" + ", ".join(map(lit, URLS)) + "]) AS url UNION SELECT concat('https://github.com/', repo, '.git') FROM documents WHERE repo IS NOT NULL), b AS (SELECT url, regexp_replace(url, '\\.git$', '') AS bare FROM u), p AS (SELECT *, string_split(bare, '/') AS parts, list_filter(string_split(bare, '/'), lambda x: x <> '') AS f FROM b), a AS (SELECT *, coalesce(list_position(f, '_git'), 0) AS g FROM p)"
 
 
 @query(f"""WITH {_URLS} SELECT url, CASE WHEN (bare LIKE '%dev.azure.com%' OR bare LIKE '%visualstudio.com%') AND g > 2 AND len(f) > g THEN f[g - 2] || '_' || f[g - 1] || '_' || f[g + 1] WHEN len(parts) >= 2 THEN parts[-2] || '_' || parts[-1] ELSE substr(regexp_replace(regexp_replace(bare, '^https?://', ''), '[^a-zA-Z0-9]', '_', 'g'), 1, 50) END AS name FROM a""")
 def repo_name(spark, d):
-    return spark.createDataFrame([(u,) for u in URLS], "url string").select("url", X.repo_name(F.col("url")).alias("name"))
+    real = t(spark, d, "documents").where("repo is not null").select(F.concat(F.lit("https://github.com/"), "repo", F.lit(".git")).alias("url"))
+    return spark.createDataFrame([(u,) for u in URLS], "url string").unionByName(real).distinct().select("url", X.repo_name(F.col("url")).alias("name"))
 
 
 @query("SELECT DISTINCT file_path, substr(regexp_replace(regexp_replace(regexp_replace(file_path, '[^a-zA-Z0-9._-]', '_', 'g'), '_{2,}', '_', 'g'), '^_+|_+$', '', 'g'), 1, 255) AS name FROM chunks")
@@ -489,7 +519,7 @@ CONFIG_SQL = f"least(1.0, {score_sql(V.CONFIG_SCORE, 0.1, 0.4)})"
 def _score_query(name: str, f: Callable[[Column], Column], sql: str) -> None:
     @query(f"WITH {BASE} SELECT chunk_id, round(({sql})::DOUBLE, 4) AS score FROM base", name=name)
     def run(spark, d):
-        return base(spark, d).select("chunk_id", F.round(f(F.col("c")).cast("double"), 4).alias("score"))
+        return base(spark, d).select("chunk_id", F.round(f(F.col("c")).cast("double"), 4).alias("score")).distinct()
 
 
 PRESENCE_SQL = f"least(1.0, {score_sql(V.COMMENT_PATTERNS, 0.1, 0.3)} + " + " + ".join(f"CASE WHEN contains(c, {lit(k)}) THEN 0.1 ELSE 0 END" for k in V.DOC_KEYWORDS) + ")"
@@ -499,7 +529,6 @@ _score_query("config_score", K.config_score, CONFIG_SQL)
 _score_query("doc_presence", K.documentation_presence, PRESENCE_SQL)
 
 KIND_SQL = f"CASE WHEN ext IN ({', '.join(map(lit, V.CODE_EXT))}) THEN 'code' WHEN ext IN ({', '.join(map(lit, V.DOCS_EXT))}) THEN 'docs' WHEN ext IN ({', '.join(map(lit, V.CONFIG_EXT))}) THEN 'config' ELSE 'mixed' END"
-LANG_SQL = "CASE ext " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in V.EXT_LANGUAGE.items()) + " ELSE 'unknown' END"
 CONFIG_LANG_SQL = "CASE ext " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in V.CONFIG_LANGUAGE.items()) + " ELSE 'config' END"
 HITS_SQL = {lang: " + ".join(f"{has(p)}::INT" for p in ps) for lang, ps in V.LANGUAGE_PATTERNS.items()}
 TYPED = f"""{BASE}, sc AS (SELECT *, {CODE_SQL} AS code, {DOCS_SQL} AS docs, {CONFIG_SQL} AS config, {KIND_SQL} AS by_ext, {LANG_SQL} AS known, {', '.join(f'{s} AS n_{k}' for k, s in HITS_SQL.items())} FROM base),
@@ -514,12 +543,12 @@ def typed(spark, d) -> DataFrame:
 
 @query(f"WITH {TYPED} SELECT chunk_id, kind AS content_type, lang AS language, CASE WHEN by_ext = 'mixed' THEN 0.5 WHEN kind <> by_ext THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence FROM ty")
 def content_type(spark, d):
-    return typed(spark, d).select("chunk_id", "content_type", "language", F.col("confidence").cast("double").alias("confidence"))
+    return typed(spark, d).select("chunk_id", "content_type", "language", F.col("confidence").cast("double").alias("confidence")).distinct()
 
 
 @query(f"WITH {TYPED} SELECT chunk_id, CASE WHEN first_n IS NOT NULL AND (known = 'unknown' OR first_n > 2) THEN first_lang ELSE known END AS language FROM ty")
 def language_detect(spark, d):
-    return base(spark, d).select("chunk_id", K.language(F.col("c"), F.col("ext")).alias("language"))
+    return base(spark, d).select("chunk_id", K.language(F.col("c"), F.col("ext")).alias("language")).distinct()
 
 
 LINES = "string_split(c, chr(10))"
@@ -534,7 +563,7 @@ CLARITY_SQL = f"""CASE WHEN len({_FULL}) = 0 THEN 0 ELSE least(1.0, 0.5 + CASE W
 def _typed_query(name: str, col: str, sql: str) -> None:
     @query(f"WITH {TYPED} SELECT chunk_id, round(({sql})::DOUBLE, 4) AS score FROM ty", name=name)
     def run(spark, d):
-        return typed(spark, d).select("chunk_id", F.round(F.col(col).cast("double"), 4).alias("score"))
+        return typed(spark, d).select("chunk_id", F.round(F.col(col).cast("double"), 4).alias("score")).distinct()
 
 
 _typed_query("semantic_density", "semantic_density", DENSITY_SQL)
@@ -545,7 +574,7 @@ _typed_query("structural_clarity", "structural_clarity", CLARITY_SQL)
 @query(f"""WITH {TYPED}, f AS (SELECT chunk_id, kind, {DENSITY_SQL} AS sd, {NOISE_SQL} AS sn, {PRESENCE_SQL} AS dp, {CLARITY_SQL} AS cl FROM ty)
 SELECT chunk_id, round(greatest(0, least(1, CASE kind WHEN 'docs' THEN sd * 0.4 + (1 - sn) * 0.2 + dp * 0.2 + cl * 0.2 WHEN 'code' THEN sd * 0.3 + (1 - sn) * 0.3 + dp * 0.2 + cl * 0.2 ELSE sd * 0.4 + (1 - sn) * 0.4 + cl * 0.2 END))::DOUBLE, 4) AS score FROM f""")
 def quality_score(spark, d):
-    return typed(spark, d).select("chunk_id", F.round("quality_score", 4).alias("score"))
+    return typed(spark, d).select("chunk_id", F.round("quality_score", 4).alias("score")).distinct()
 
 
 AUTH_SQL = "0.3 + " + " + ".join([*(f"CASE WHEN contains(lower(file_path), {lit(m)}) THEN 0.15 ELSE 0 END" for m in V.PATH_MARKERS), *(f"CASE WHEN contains(lower(c), {lit(m)}) THEN 0.05 ELSE 0 END" for m in V.CONTENT_MARKERS), "CASE WHEN contains(lower(file_path), 'example') OR contains(lower(file_path), 'sample') OR contains(lower(c), 'example') OR contains(lower(c), 'demo') THEN 0.1 ELSE 0 END", *(f"least(0.15, {n_of(u)} * 0.05)" for u in V.URL_PATTERNS)]) + " - CASE WHEN " + " OR ".join(f"contains(lower(c), {lit(m)})" for m in V.GENERATED_MARKERS) + " THEN 0.2 ELSE 0 END"
@@ -554,7 +583,15 @@ AUTH_SQL = "0.3 + " + " + ".join([*(f"CASE WHEN contains(lower(file_path), {lit(
 @query(f"WITH {BASE}, a AS (SELECT chunk_id, ({AUTH_SQL})::DOUBLE AS a FROM base) SELECT chunk_id, round(greatest(0, least(1, a)), 4) AS score, round(a, 6) > 0.7 AS official FROM a")
 def authority_score(spark, d):
     a = K.raw_authority(F.col("c"), F.col("file_path"))
-    return base(spark, d).withColumn("a", a).select("chunk_id", F.round(X.clamp(F.col("a"), 0.0, 1.0), 4).alias("score"), (F.round("a", 6) > 0.7).alias("official"))
+    return base(spark, d).withColumn("a", a).select("chunk_id", F.round(X.clamp(F.col("a"), 0.0, 1.0), 4).alias("score"), (F.round("a", 6) > 0.7).alias("official")).distinct()
+
+
+_MARKERS_SQL = "list_filter([" + ", ".join([*(f"CASE WHEN contains(lower(file_path), {lit(m)}) THEN {lit('path-' + m)} END" for m in V.PATH_MARKERS), *(f"CASE WHEN contains(lower(c), {lit(m)}) THEN {lit('content-' + m)} END" for m in V.CONTENT_MARKERS), *(f"CASE WHEN {has(u)} THEN {lit('url-' + u.replace('/', chr(92) + '/'))} END" for u in V.URL_PATTERNS)]) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {BASE} SELECT chunk_id, array_to_string({_MARKERS_SQL}, '|') AS markers FROM base")
+def authority_markers(spark, d):
+    return base(spark, d).select("chunk_id", joined(K.authority_markers(F.col("c"), F.col("file_path"))).alias("markers")).distinct()
 
 
 # ---- domains
@@ -564,7 +601,7 @@ PATH_SQL = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower
 
 @query(f"WITH {BASE} SELECT chunk_id, array_to_string({PATH_SQL}, '|') AS domains FROM base")
 def domain_path(spark, d):
-    return base(spark, d).select("chunk_id", joined(F.transform(D.path_evidence(F.col("file_path")), lambda x: x["domain"])).alias("domains"))
+    return base(spark, d).select("chunk_id", joined(F.transform(D.path_evidence(F.col("file_path")), lambda x: x["domain"])).alias("domains")).distinct()
 
 
 @query("SELECT language, CASE language " + " ".join(f"WHEN {lit(k)} THEN {lit('|'.join(v))}" for k, v in V.LANGUAGE_DOMAINS.items()) + " ELSE '' END AS domains, count(*) AS n FROM content_metadata GROUP BY ALL")
@@ -581,32 +618,33 @@ CONTENT_SQL = {k: "least(1.0, (" + " + ".join(f"{n_of(rf'\b{w}\b', 'lower(c)')}
 @query(f"WITH {BASE}, s AS (" + " UNION ALL ".join(f"SELECT chunk_id, {lit(k)} AS domain, ({q})::DOUBLE AS score FROM base" for k, q in CONTENT_SQL.items()) + ") SELECT chunk_id, domain, round(score, 4) AS score FROM s WHERE score >= 0.1")
 def domain_content(spark, d):
     e = D.content_evidence(F.col("c"), TEST_VOCABULARY)
-    return X.exploded(base(spark, d), e, "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
+    return X.exploded(base(spark, d), e, "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score")).distinct()
 
 
-_IMPORTED = "list_concat(list_concat(" + ", ".join(f"regexp_extract_all(lower(c), {lit(p)}, 1)" for p in V.IMPORT_PATTERNS[:2]) + f"), regexp_extract_all(lower(c), {lit(V.IMPORT_PATTERNS[2])}, 1))"
+_IMPORTED = "list_transform(list_concat(list_concat(" + ", ".join(f"regexp_extract_all(c, {lit(p)}, 1)" for p in V.IMPORT_PATTERNS[:2]) + f"), regexp_extract_all(c, {lit(V.IMPORT_PATTERNS[2])}, 1)), lambda x: lower(x))"
 _WEB = "(contains(x, 'express') OR contains(x, 'react') OR contains(x, 'vue') OR contains(x, 'angular'))"
-CONTEXT = f"""{BASE}, im AS (SELECT *, {_IMPORTED} AS imp, contains(lower(file_path), 'package.json') OR contains(c, '"dependencies"') AS node FROM base),
-ev AS (SELECT *, len(list_filter(imp, lambda x: {_WEB})) AS n_web, len(list_filter(imp, lambda x: NOT {_WEB} AND (contains(x, 'django') OR contains(x, 'flask')))) AS n_py, NOT node AND (contains(lower(file_path), 'requirements.txt') OR contains(lower(file_path), 'pipfile')) AS py, contains(c, 'FROM ') OR contains(c, 'COPY ') OR contains(lower(file_path), 'dockerfile') AS docker FROM im),
-cx AS (SELECT chunk_id, 'web-frameworks' AS domain, n_web * 0.3 + n_py * 0.2 + CASE WHEN node AND contains(lower(c), 'express') THEN 0.4 ELSE 0 END AS score FROM ev UNION ALL SELECT chunk_id, 'python', n_py * 0.3 + CASE WHEN py THEN 0.4 ELSE 0 END FROM ev UNION ALL SELECT chunk_id, 'javascript', CASE WHEN node THEN 0.4 ELSE 0 END FROM ev UNION ALL SELECT chunk_id, 'devops', CASE WHEN docker THEN 0.3 ELSE 0 END FROM ev)"""
+CONTEXT = f"""{BASE}, im AS (SELECT *, {_IMPORTED} AS imp, contains(file_path, 'package.json') OR contains(c, '"dependencies"') AS node FROM base),
+ev AS (SELECT *, len(list_filter(imp, lambda x: {_WEB})) AS n_web, len(list_filter(imp, lambda x: NOT {_WEB} AND (contains(x, 'django') OR contains(x, 'flask')))) AS n_py, NOT node AND (contains(file_path, 'requirements.txt') OR contains(file_path, 'Pipfile')) AS py, contains(c, 'FROM ') OR contains(c, 'COPY ') OR contains(file_path, 'dockerfile') AS docker FROM im),
+cx AS (SELECT chunk_id, 'web-frameworks' AS domain, n_web * 0.3 + n_py * 0.2 + CASE WHEN node AND contains(c, 'express') THEN 0.4 ELSE 0 END AS score FROM ev UNION ALL SELECT chunk_id, 'python', n_py * 0.3 + CASE WHEN py THEN 0.4 ELSE 0 END FROM ev UNION ALL SELECT chunk_id, 'javascript', CASE WHEN node THEN 0.4 ELSE 0 END FROM ev UNION ALL SELECT chunk_id, 'devops', CASE WHEN docker THEN 0.3 ELSE 0 END FROM ev)"""
 
 
 @query(f"WITH {CONTEXT} SELECT chunk_id, domain, round(score::DOUBLE, 4) AS score FROM cx WHERE score > 0")
 def domain_context(spark, d):
     e = D.context_evidence(F.col("c"), F.col("file_path"))
-    return X.exploded(base(spark, d), e, "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
+    return X.exploded(base(spark, d), e, "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score")).distinct()
 
 
 _PATH_ROWS = " UNION ALL ".join(f"SELECT chunk_id, {lit(k)} AS domain, 0.8 AS score, {i} AS o FROM base WHERE {' OR '.join(f'contains(lower(file_path), {lit(x)})' for x in ids)}" for i, (k, ids) in enumerate(V.PATH_DOMAINS.items()))
+_LANGUAGE_ROWS = " UNION ALL ".join(f"SELECT chunk_id, {lit(k)} AS domain, 0.6 AS score, {100 + i} AS o FROM base WHERE {LANG_SQL} = {lit(lang)}" for lang, ks in V.LANGUAGE_DOMAINS.items() for i, k in enumerate(ks))
 _CONTENT_ROWS = " UNION ALL ".join(f"SELECT chunk_id, {lit(k)} AS domain, ({q})::DOUBLE AS score, {200 + i} AS o FROM base WHERE ({q}) >= 0.1" for i, (k, q) in enumerate(CONTENT_SQL.items()))
 
 
-@query(f"""WITH {CONTEXT}, e AS ({_PATH_ROWS} UNION ALL {_CONTENT_ROWS} UNION ALL SELECT chunk_id, domain, score, 300 + CASE domain WHEN 'web-frameworks' THEN 0 WHEN 'python' THEN 1 WHEN 'javascript' THEN 2 ELSE 3 END FROM cx WHERE score > 0),
+@query(f"""WITH {CONTEXT}, e AS ({_PATH_ROWS} UNION ALL {_LANGUAGE_ROWS} UNION ALL {_CONTENT_ROWS} UNION ALL SELECT chunk_id, domain, score, 300 + CASE domain WHEN 'web-frameworks' THEN 0 WHEN 'python' THEN 1 WHEN 'javascript' THEN 2 ELSE 3 END FROM cx WHERE score > 0),
 s AS (SELECT chunk_id, domain, sum(score) AS score, min(o) AS o FROM e GROUP BY 1, 2)
 SELECT chunk_id, domain, round(score::DOUBLE, 4) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY round(score::DOUBLE, 9) DESC, o) <= 5""")
 def domain_tags_top5(spark, d):
-    rows = D.tag(base(spark, d).withColumn("lang", F.lit(None).cast("string")), content="c", language="lang", vocabulary=TEST_VOCABULARY)
-    return X.exploded(rows, F.col("domain_scores"), "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score"))
+    rows = D.tag(base(spark, d).withColumn("lang", by_extension(F.col("ext"))), content="c", language="lang", vocabulary=TEST_VOCABULARY)
+    return X.exploded(rows, F.col("domain_scores"), "x", "chunk_id").select("chunk_id", "x.domain", F.round("x.score", 4).alias("score")).distinct()
 
 
 def _intent_sql(k: str, boost: float, words: dict[str, float], i: int) -> str:
@@ -641,7 +679,7 @@ tq AS (SELECT query_id, query, {TERMS_SQL} AS terms FROM nr),
 tt AS (SELECT query_id, query, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS term_pos FROM tq WHERE len(terms) BETWEEN 1 AND 8),
 oc AS (SELECT tt.query_id, tt.query, term, term_pos, len(regexp_extract_all(content, '\\b' || regexp_replace(term, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g') || '\\b')) AS n FROM tt JOIN rs ON tt.query_id = rs.query_id WHERE rank <= 5),
 st AS (SELECT query_id, query, term, term_pos, count(*) AS n_docs, sum((n > 0)::INT)::BIGINT AS df, sum(n)::BIGINT AS total_tf FROM oc GROUP BY ALL),
-tf AS (SELECT *, CASE WHEN df > 0 THEN total_tf / df ELSE 0 END * ln((n_docs + 1) / (df + 1)) AS tfidf FROM st)"""
+tf AS (SELECT *, CASE WHEN df > 0 THEN total_tf / df ELSE 0 END * ln(((SELECT count(*) FROM documents_idx) + 1) / (df + 1)) AS tfidf FROM st)"""
 
 
 def searched(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -653,6 +691,10 @@ def searched(spark, d) -> tuple[DataFrame, DataFrame]:
     return k.select("query_id", "query"), met.select("query_id", (F.floor(F.col("p") / n) + 1).alias("rank"), "content")
 
 
+def n_documents(spark, d) -> int:
+    return t(spark, d, "documents_idx").count()
+
+
 def _numbered(df: DataFrame, by: str, out: str) -> DataFrame:
     """Rows numbered from 0 in order of a unique column: counts per range partition, then places within each."""
     ranged = df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).persist()
@@ -666,27 +708,34 @@ def _numbered(df: DataFrame, by: str, out: str) -> DataFrame:
 
 @query(f"WITH {RESULTS} SELECT query_id, term, n_docs, df, total_tf FROM st")
 def term_df_tf(spark, d):
-    return recommend.term_statistics(*searched(spark, d)).select("query_id", "term", "n_docs", F.col("df").cast("long").alias("df"), F.col("total_tf").cast("long").alias("total_tf"))
+    return recommend.term_statistics(*searched(spark, d), n_documents(spark, d)).select("query_id", "term", "n_docs", F.col("df").cast("long").alias("df"), F.col("total_tf").cast("long").alias("total_tf"))
 
 
 @query(f"WITH {RESULTS} SELECT query_id, term, round(tfidf, 6) AS tfidf, row_number() OVER (PARTITION BY query_id ORDER BY round(tfidf, 9), term_pos) AS place FROM tf")
 def tfidf_scores(spark, d):
-    s = recommend.term_statistics(*searched(spark, d))
+    s = recommend.term_statistics(*searched(spark, d), n_documents(spark, d))
     return s.select("query_id", "term", F.round("tfidf", 6).alias("tfidf"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("tfidf", 9), "term_pos")).cast("long").alias("place"))
 
 
-_ESSENTIAL = f"(contains(lower(query), '\"' || term || '\"') OR term IN ({', '.join(map(lit, V.ESSENTIAL_TERMS))}))"
+_ESSENTIAL = f"(contains(query, '\"' || term || '\"') OR term IN ({', '.join(map(lit, V.ESSENTIAL_TERMS))}))"
 
 
 @query(f"WITH {RESULTS} SELECT query_id, term, tfidf < 1.0 AND tfidf < 0.25 AND NOT {_ESSENTIAL} AS removable FROM tf")
 def removable_terms(spark, d):
     q, r = searched(spark, d)
-    return recommend.term_statistics(q, r).join(q, "query_id").select("query_id", "term", recommend.removable().alias("removable"))
+    return recommend.term_statistics(q, r, n_documents(spark, d)).join(q, "query_id").select("query_id", "term", recommend.removable().alias("removable"))
 
 
-@query()
+_RELATED = "(t.term <> bad AND (contains(t.term, bad) OR contains(bad, t.term) OR " + " OR ".join(f"(t.term = {lit(k)} AND bad IN ({', '.join(map(lit, vs))})) OR (bad = {lit(k)} AND t.term IN ({', '.join(map(lit, vs))}))" for k, vs in V.SYNONYMS.items()) + "))"
+
+
+@query(f"""WITH {RESULTS}, b AS (SELECT query_id, term AS bad, tfidf AS bad_tfidf FROM tf WHERE tfidf < 1.0 AND tfidf < 0.25 AND NOT {_ESSENTIAL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tfidf, term_pos) = 1),
+g AS (SELECT t.query_id, any_value(bad) AS bad, any_value(bad_tfidf) AS bad_tfidf, list(t.term ORDER BY term_pos) AS every, list(t.term ORDER BY tfidf DESC, term_pos) FILTER (tfidf > 2 AND {_RELATED}) AS better, list(t.term ORDER BY tfidf, term_pos) FILTER (tfidf > 3 AND df >= 2 AND t.term <> bad) AS more FROM tf t JOIN b USING (query_id) GROUP BY 1)
+SELECT query_id, array_to_string(CASE WHEN len(every) > 2 THEN list_filter(every, lambda x: x <> bad) WHEN len(better) > 0 THEN better[:1] ELSE list_concat(every, more[:2]) END, '|') AS terms, CASE WHEN len(every) > 2 THEN 'removal' WHEN len(better) > 0 THEN 'refinement' ELSE 'contextual_addition' END AS suggestion_strategy,
+round(CASE WHEN len(every) > 2 THEN greatest(0, least(1, bad_tfidf / 5)) WHEN len(better) > 0 THEN 0.7 ELSE 0.6 END::DOUBLE, 6) AS confidence, (SELECT count(*) FROM documents_idx)::INT AS total_documents, len(every)::INT AS analyzed_documents FROM g WHERE len(every) > 2 OR len(better) > 0 OR len(more) > 0""")
 def recommendation_strategy(spark, d):
-    return recommend.recommend(*searched(spark, d), now=F.lit("2025-06-01").cast("timestamp")).select("query_id", F.concat_ws("|", "suggested_terms").alias("terms"), "suggestion_strategy", F.round("confidence", 6).alias("confidence"))
+    found = recommend.recommend(*searched(spark, d), n_documents(spark, d), now=F.lit("2025-06-01").cast("timestamp"))
+    return found.select("query_id", F.concat_ws("|", "suggested_terms").alias("terms"), "suggestion_strategy", F.round("confidence", 6).alias("confidence"), "total_documents", "analyzed_documents")
 
 
 NOW = "(SELECT max(generated_at) FROM search_recommendations)"
@@ -734,10 +783,21 @@ def _feedback(spark, d) -> DataFrame:
     return e.join(r, "recommendation_id")
 
 
-@query()
+#: A strategy's weight beside those of the others, which stay equal among themselves.
+FOLD = f"""WITH RECURSIVE f AS (SELECT suggestion_strategy AS s, effectiveness_score::DOUBLE AS x, row_number() OVER (PARTITION BY suggestion_strategy ORDER BY e.id) AS i FROM recommendation_effectiveness e JOIN (SELECT DISTINCT ON (id) id, suggestion_strategy FROM search_recommendations) r ON e.recommendation_id = r.id WHERE effectiveness_score IS NOT NULL AND suggestion_strategy IS NOT NULL),
+h AS (SELECT *, list(x) OVER (PARTITION BY s ORDER BY i ROWS BETWEEN {V.EWMA_WINDOW - 1} PRECEDING AND CURRENT ROW) AS a, list(x) OVER (PARTITION BY s ORDER BY i ROWS BETWEEN {V.VARIANCE_WINDOW - 1} PRECEDING AND CURRENT ROW) AS b FROM f),
+m AS (SELECT s, i, x, list_reduce(a, lambda p, q: p * {1 - V.EWMA_ALPHA} + q * {V.EWMA_ALPHA}) AS e, CASE WHEN len(b) < 2 THEN 0 ELSE least(1, list_aggregate(b, 'var_pop')) END AS v FROM h),
+r AS (SELECT DISTINCT s, 0::BIGINT AS i, {V.THRESHOLD_START}::DOUBLE AS t, {V.RATE_START}::DOUBLE AS rate, 1.0::DOUBLE AS w, 1.0::DOUBLE AS o, CASE WHEN s IN ({', '.join(map(lit, V.STRATEGIES))}) THEN {len(V.STRATEGIES) - 1} ELSE {len(V.STRATEGIES)} END AS n FROM f
+UNION ALL SELECT s, i, greatest({V.THRESHOLD_MIN}, least({V.THRESHOLD_MAX}, t + CASE WHEN e > 0.7 THEN -{V.THRESHOLD_STEP} WHEN e < 0.3 THEN {V.THRESHOLD_STEP} ELSE 0 END)), greatest({V.RATE_MIN}, least({V.RATE_MAX}, rate + CASE WHEN v < 0.1 THEN {V.RATE_STEP} WHEN v > 0.3 THEN -{V.RATE_STEP} ELSE 0 END)), nw / ((nw + n * o) / (n + 1)), o / ((nw + n * o) / (n + 1)), n
+FROM (SELECT r.s, m.i, r.t, r.rate, r.o, r.n, m.e, m.v, greatest({V.WEIGHT_MIN}, least({V.WEIGHT_MAX}, r.w + greatest(-{V.WEIGHT_STEP}, least({V.WEIGHT_STEP}, (m.x - 0.5) * r.rate)))) AS nw FROM r JOIN m ON m.s = r.s AND m.i = r.i + 1))
+SELECT s AS suggestion_strategy, i AS n, round(t, 6) AS threshold, round(rate, 6) AS rate, round(w, 6) AS weight FROM r QUALIFY row_number() OVER (PARTITION BY s ORDER BY i DESC) = 1"""
+
+
+@query(FOLD)
 def learning_fold(spark, d):
-    f = learning.fold(_feedback(spark, d), "suggestion_strategy", ["id"], "effectiveness_score")
-    return f.select("suggestion_strategy", "n", F.round("threshold", 6).alias("threshold"), F.round("rate", 6).alias("rate"))
+    log = _feedback(spark, d).withColumn("strategy", F.col("suggestion_strategy"))
+    f = learning.fold(log, "suggestion_strategy", ["id"], "effectiveness_score", "strategy")
+    return f.select("suggestion_strategy", "n", F.round("threshold", 6).alias("threshold"), F.round("rate", 6).alias("rate"), F.round(F.element_at("weights", F.col("suggestion_strategy")), 6).alias("weight"))
 
 
 WEIGHTS = """w AS (SELECT suggestion_strategy AS s, avg(least(1, greatest(0, effectiveness_score))) + 0.5 AS v FROM recommendation_effectiveness e JOIN (SELECT DISTINCT ON (id) id, suggestion_strategy FROM search_recommendations) r ON e.recommendation_id = r.id WHERE effectiveness_score IS NOT NULL AND suggestion_strategy IS NOT NULL GROUP BY 1)"""
@@ -809,25 +869,25 @@ def progress_statistics(spark, d):
 
 # ---- without SQL: Python's JSON, embeddings, streams
 
-@query()
+@query("""SELECT event_id, '{' || chr(10) || array_to_string(list_transform(json_keys(props), lambda k: '  "' || k || '": ' || json_extract(props, '$.' || k)::VARCHAR), ',' || chr(10)) || chr(10) || '}' AS pretty FROM events""")
 def json_pretty(spark, d):
     return t(spark, d, "events").select("event_id", X.pretty_json(F.col("props")).alias("pretty"))
 
 
-@query()
+@query("SELECT event_id, array_to_string(json_keys(props), '|') AS paths FROM events")
 def json_key_paths(spark, d):
     return t(spark, d, "events").select("event_id", joined(X.json_key_paths(F.col("props"))).alias("paths"))
 
 
 @query()
 def enhanced_content(spark, d):
-    return D.tag(E.enhance(typed(spark, d)), content="enhanced_content").select("chunk_id", "content_type", "has_comments", "has_documentation", F.md5("enhanced_content").alias("h"), joined(F.col("domain_tags")).alias("tags"))
+    return D.tag(E.enhance(typed(spark, d)), content="enhanced_content").select("chunk_id", "content_type", "has_comments", "has_documentation", F.md5("enhanced_content").alias("h"), joined(F.col("domain_tags")).alias("tags")).distinct()
 
 
-@query()
+@query(f"WITH RECURSIVE {DOCS}, {FIXED}, " + windows_sql("SELECT file_path, string_agg(piece, ' ' ORDER BY n) AS j FROM pieces WHERE piece IS NOT NULL GROUP BY file_path").replace("SELECT file_path, file_path || ':'", "SELECT file_path || ':'", 1).replace("AS chunk_id, (o // 800)::BIGINT AS chunk_index, md5(substr(j, o + 1, 1000)) AS h, strlen(j)::BIGINT AS file_size,", "AS chunk_id,").replace("AS token_count FROM w", "AS token_count, 512::BIGINT AS dim, NULL::VARCHAR AS embedding_error FROM w"))
 def ingest_end_to_end(spark, d):
     out = embed(chunk(docs(spark, d)))
-    return out.select("chunk_id", "chunk_offset", "token_count", F.size("embedding").alias("dim"), "embedding_error")
+    return out.select("chunk_id", F.col("chunk_offset").cast("long").alias("chunk_offset"), F.col("token_count").cast("long").alias("token_count"), F.size("embedding").cast("long").alias("dim"), "embedding_error")
 
 
 @query()
@@ -836,20 +896,25 @@ def hash_embed_search(spark, d):
     return retrieval.previews(retrieval.knn(c, embed_query("cache index of the vector", HashingEmbedder(256)), 10)).select("chunk_id", "score_text", "preview")
 
 
-@query()
+@query(f"WITH {STATE}, n AS (SELECT job_id, count(*) AS events FROM job_events WHERE job_id IS NOT NULL GROUP BY 1) SELECT job_id, status, round(progress, 6) AS progress, events FROM state JOIN n USING (job_id)")
 def stream_job_states(spark, d):
     """The job log run as a stream to its end; one last state per job."""
-    import tempfile
-    import uuid
-
     from docloom.streaming.streams import job_event_stream, job_state_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    out = f"{shared or tempfile.mkdtemp(prefix='docloom-')}/stream-{uuid.uuid4().hex}"
+    out = shared_folder(spark)
     states = job_state_stream(job_event_stream(spark, f"{d}/job_events.parque[t]"), ttl_ms=None)
     save = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/{n}")
     states.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema("job_id string, status string, progress double, message string, events long, batch long").parquet(f"{out}/rows/*")
     return rows.groupBy("job_id").agg(F.max_by(F.struct("status", F.round("progress", 6).alias("progress"), "events"), "batch").alias("x")).select("job_id", "x.*")
+
+
+@query(ORACLE["chunk_fixed_breakpoints"])
+def stream_ingest_equals_batch(spark, d):
+    """The documents run as a stream of micro-batches through the chunking of an ingest; the rows are those of the batch."""
+    out = shared_folder(spark)
+    src = spark.readStream.schema(t(spark, d, "documents").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/documents.parque[t]")
+    rows = src.where("text is not null").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
+    save = lambda df, n: as_chunks(chunk(spread(df), ChunkingConfig(method="fixed"))).write.mode("overwrite").parquet(f"{out}/rows/{n}")
+    rows.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows/*")

@@ -93,6 +93,11 @@ def clone_repository(url: str, branch: str | None = None) -> str:
     return to
 
 
+def absolute_path(path: str) -> str:
+    """A path from the root, without '.', '..' and doubled slashes."""
+    return os.path.abspath(path)
+
+
 def safe_filename(name: str) -> str:
     s = re.sub("_{2,}", "_", re.sub("[^a-zA-Z0-9._-]", "_", name))
     return re.sub("^_+|_+$", "", s)[:255]
@@ -121,7 +126,7 @@ def download(url: str, filename: str, folder: str, overwrite: bool = True, max_m
 
 def data_folder() -> Path:
     """The folder for data: environment, else the system's usual place."""
-    if named := os.environ.get("MCP_DATA_FOLDER"):
+    if named := os.environ.get("DOCLOOM_DATA_FOLDER"):
         return Path(named)
     home = Path.home()
     if sys.platform == "darwin":
@@ -132,7 +137,7 @@ def data_folder() -> Path:
 
 
 def docs_folder() -> Path:
-    return Path(os.environ.get("MCP_DOCS_FOLDER") or data_folder() / "docs")
+    return Path(os.environ.get("DOCLOOM_DOCS_FOLDER") or data_folder() / "docs")
 
 
 def make_folders(root: Path) -> dict[str, Path]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,6 +41,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name under the one that all executors share: spark.checkpoint.dir, or a temporary folder in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='docloom-')}/{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, if it has fewer, as a small file with one row group does; costly
     expressions then run side by side. Tables of many files are left as they are."""

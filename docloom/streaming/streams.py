@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,24 +50,26 @@ def job_state_stream(events: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -
         if state.hasTimedOut:
             state.remove()
             return
-        ts, status, progress, message, n = state.get if state.exists else (-1, None, 0.0, None, 0)
+        # the order of jobs.state: time, final, progress, status, message; progress is the last one known
+        order, status, known_at, known, message, n = state.get if state.exists else ("", None, -1, 0.0, None, 0)
+        best = tuple(json.loads(order)) if order else (-1,)
         for pdf in batches:
-            for r in pdf.sort_values("ts").itertuples(index=False):
+            n += len(pdf)
+            for r in pdf[pdf["ts"].notna()].itertuples(index=False):
                 at = int(r.ts.value // 1000)
-                n += 1
-                if at < ts or (at == ts and status in FINAL):
-                    continue
-                ts, status, message = at, r.status, r.message
-                if r.progress is not None and r.progress == r.progress:
-                    progress = max(0.0, min(100.0, float(r.progress)))
-                if status == "completed":
-                    progress = 100.0
-        state.update((ts, status, progress, message, n))
+                p = None if r.progress is None or r.progress != r.progress else float(r.progress)
+                mine = (at, int(r.status in FINAL), -1.0 if p is None else p, r.status or "", r.message or "")
+                if mine > best:
+                    best, status, message = mine, r.status, r.message
+                if p is not None and (at, p) > (known_at, known):
+                    known_at, known = at, p
+        progress = 100.0 if status == "completed" else max(0.0, min(100.0, known)) if known_at >= 0 else 0.0
+        state.update((json.dumps(best), status, known_at, known, message, n))
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame([(key[0], status, progress, message, n)], columns=["job_id", "status", "progress", "message", "events"])
 
-    return events.where("job_id is not null").groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, progress double, message string, events long", "ts long, status string, progress double, message string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms is not None else GroupStateTimeout.NoTimeout)
+    return events.where("job_id is not null").groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, progress double, message string, events long", "last string, status string, known_at long, known double, message string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms is not None else GroupStateTimeout.NoTimeout)
 
 
 def learning_stream(log: DataFrame, key: str = "strategy", score: str = "score") -> DataFrame:

@@ -48,6 +48,18 @@ def test_store(spark, tmp_path):
     assert [r["content"] for r in s.read("chunks").collect()] == ["y"]
     assert s.delete("chunks", F.col("file_path") == "f") == 1 and s.read("chunks").count() == 0
     assert s.learning_parameters().first()["learning_rate"] == 0.05
+    two = spark.createDataFrame([(f"{p}:{i}", p, i, "x", [1.0], 0, 1, T0) for p in ("f", "g") for i in range(3)], s.read("chunks").schema)
+    s.store_chunks(two)
+    before = s._manifest("chunks")["buckets"]
+    s.store_chunks(two.where("file_path = 'f' and chunk_index < 2"))
+    after = s._manifest("chunks")["buckets"]
+    assert s.read("chunks").count() == 5 and len(before) == 2 and sum(before[k] != after[k] for k in before) == 1  # one bucket was written anew
+    s.write("content_metadata", spark.createDataFrame([("g:0",), ("f:1",)], "chunk_id string").select(*[F.col("chunk_id") if f == "chunk_id" else F.lit(None).alias(f) for f in s.read("content_metadata").columns]))
+    assert s.delete_file("g") == 3 and s.read("chunks").select("file_path").distinct().count() == 1 and [r[0] for r in s.read("content_metadata").select("chunk_id").collect()] == ["f:1"]
+    assert s.clear("chunks") == 2 and s.read("chunks").count() == 0 and s.size() > 0
+    for i in range(3):
+        s.append("job_events", spark.createDataFrame([("j", "t", "running", float(i), "m", T0)], JOB_EVENTS))
+    assert s.read("job_events").count() == 3 and len(s._manifest("job_events")["buckets"]["0"]) == 3
     d = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     assert sorted(map(tuple, upsert(d, spark.createDataFrame([("b", 3), ("c", 4)], d.schema), ["k"]).collect())) == [("a", 1), ("b", 3), ("c", 4)]
     assert sorted(map(tuple, insert_missing(d, spark.createDataFrame([("b", 3), ("c", 4)], d.schema), ["k"]).collect())) == [("a", 1), ("b", 2), ("c", 4)]
@@ -114,9 +126,15 @@ def test_recommendations(spark):
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha betas"), (3, ""), (4, " ".join(f"t{i}x" for i in range(9))), (5, '"alpha" beta gamma')], "query_id long, query string")
     text = "alpha alpha alpha beta"
     r = spark.createDataFrame([(i, k, text if k < 3 else "none") for i in range(1, 6) for k in range(1, 6)], "query_id long, rank int, content string")
-    got = {x["query_id"]: x for x in recommend.recommend(q, r).collect()}
+    got = {x["query_id"]: x for x in recommend.recommend(q, r, 5).collect()}
     assert got[1]["suggestion_strategy"] == "removal" and got[1]["suggested_terms"] == ["alpha", "beta"]
     assert 3 not in got and 4 not in got and got[5]["suggested_terms"] == ["alpha", "beta"]
+    assert got[1]["total_documents"] == 5 and got[1]["analyzed_documents"] == 3
+    # N is the index's, not the five hits': a term of all hits weighs much in a large index, and the better term stands alone
+    two = spark.createDataFrame([(1, "betas beta"), (2, "Plain \"Beta\"")], "query_id long, query string")
+    hits = spark.createDataFrame([(i, k, "beta beta beta") for i in (1, 2) for k in (1, 2)], "query_id long, rank int, content string")
+    big = {x["query_id"]: x for x in recommend.recommend(two, hits, 1000).collect()}
+    assert big[1]["suggestion_strategy"] == "refinement" and big[1]["suggested_terms"] == ["beta"] and big[2]["suggested_terms"] == ["plain", "beta", "beta"]
     live = spark.createDataFrame([("a", "q", T0, T0 + timedelta(days=1)), ("b", "q", T0 + timedelta(hours=1), T0 + timedelta(days=1)), ("c", "q", T0, T0)], "id string, query string, generated_at timestamp, expires_at timestamp")
     assert [x["id"] for x in recommend.cached(live, F.lit(T0)).collect()] == ["b"] and recommend.unexpired(live, F.lit(T0)).count() == 2
 
@@ -149,3 +167,58 @@ def test_streams(spark, tmp_path):
     src = spark.readStream.schema("strategy string, score double, ts timestamp").parquet(str(fb))
     learning_stream(src).writeStream.outputMode("update").format("memory").queryName("ls").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("ls").first()["n"] == 1
+
+
+def test_recommendations_and_learning_of_the_engine(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for i in range(4):
+        (docs / f"{i}.md").write_text(f"# Index {i}\n\nA query on a sql database with an index. " * 20)
+    e = Engine(spark, str(tmp_path / "engine"), HashingEmbedder(512))
+    seen = []
+    stop = e.subscribe(seen.append)
+    job = e.ingest_path(str(docs))
+    assert [x["progress"] for x in seen] == [0.0, 46.0, 88.0, 100.0] and e.job_status(job)["status"] == "completed"
+    stop()
+    last = []
+    e.subscribe(last.append, job)
+    assert [x["progress"] for x in last] == [100.0] and e.cancel_job(job) is False and len(seen) == 4
+    got = e.search_documents("sql database index of unheard zzyzx queries")
+    rec = got["recommendation"]
+    assert rec["suggestion_strategy"] == "removal" and rec["id"].startswith("rec_") and rec["total_documents"] == 4 and len(rec["id"].split("_")[2]) == 9
+    assert e.search_documents("sql database index of unheard zzyzx queries")["recommendation"]["id"] == rec["id"]  # the stored one
+    p = e.feedback(rec["id"], True, 1.0, 3, True, 0)
+    row = e.store.read("recommendation_effectiveness").first()
+    assert row["improved_result_count"] is None and row["improved_results"] and p.weights["removal"] > 1 and e.store.current_parameters() == p
+    e.reset_learning()
+    assert e.store.current_parameters() == learning.Params()
+    assert e.store.clear_recommendations() == 1 and e.store.read("recommendation_effectiveness").count() == 0
+    (docs / "bad.txt").write_text("")
+    assert e.job_status(e.ingest_file((docs / "bad.txt").as_uri(), "bad.txt"))["status"] == "failed"
+    assert e.job_status(e.ingest_file((docs / "0.md").as_uri(), "one.md"))["status"] == "completed"
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert e.job_status(e.ingest_repo(str(empty)))["status"] in ("failed", "completed")
+    assert files.absolute_path("/a/./b/../c") == "/a/c"
+
+
+def test_vocabulary_lookups_and_json(spark):
+    from docloom.functions import domains
+
+    rows = spark.createDataFrame([("b", '[{"keyword": "x", "weight": 0.5}]', "[]", 1.4), ("a", "[]", "[]", None), ("bad", "{", "[]", 9.0)], "domain string, keywords string, authority_patterns string, boost_factor double")
+    assert domains.load(rows) == [("a", 1.0, {}), ("b", 1.4, {"x": 0.5})]
+    assert [r[0] for r in domains.domain_names(rows).collect()] == ["a", "b", "bad"] and domains.vocabulary_of(rows, "b").count() == 1
+    assert domains.boost_of(rows, "a") == 1.0 and domains.boost_of(rows, "b") == 1.4 and domains.boost_of(rows, "none") == 1.0
+
+
+def test_lookups_by_id_and_hits_of_several_deliveries(spark):
+    c = spark.createDataFrame([("a", "/f", [1.0, 0.0], T0), ("a", "/f", [1.0, 0.0], T0 + timedelta(days=1)), ("b", "/f", [0.9, 0.1], T0), ("c", "/f", [0.0, 1.0], T0)], "chunk_id string, file_path string, embedding array<float>, created_at timestamp")
+    assert retrieval.chunk_by_id(c, "a").collect()[0]["created_at"].day == 2 and retrieval.chunk_by_id(c, "z").count() == 0
+    assert [r["chunk_id"] for r in retrieval.knn(c.select("chunk_id", "embedding"), [1.0, 0.0], 2, one_per_id=True).collect()] == ["a", "b"]
+    m = spark.createDataFrame([("a", "docs", T0), ("a", "code", T0 + timedelta(days=1))], "chunk_id string, content_type string, created_at timestamp")
+    assert retrieval.metadata_of(m, "a").first()["content_type"] == "code"
+    from docloom.functions.vectors import top_k
+
+    q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [1.0, 0.0, 0.0])], "query_id string, embedding array<float>")
+    d = c.select("chunk_id", "embedding").unionByName(spark.createDataFrame([("x", [0.0, 1.0, 0.0])], "chunk_id string, embedding array<float>"))
+    assert {(r["query_id"], r["id"]) for r in top_k(d, q, 1).collect()} == {("q1", "a"), ("q2", "x")}

@@ -11,7 +11,7 @@ from docloom.plans import catalog
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 #: A cross-section that runs in seconds; the driver compares all.
-NAMES = ["knn_l2_top10", "knn_cosine_top10", "knn_batch_top5_per_query", "knn_left_join_metadata", "boost_and_resort", "filter_all", "chunk_sentence", "chunk_paragraph", "chunk_fixed_breakpoints", "chunk_context_window", "upsert_chunks", "strip_code_comments", "universal_normalise", "config_terms", "section_split", "tokenize_query", "repo_name", "content_type", "quality_score", "authority_score", "domain_tags_top5", "query_intent_top3", "tfidf_scores", "removable_terms", "cached_recommendation_latest", "ewma_effectiveness", "recent_variance", "job_state_fold", "job_cleanup", "latest_progress"]
+NAMES = ["knn_l2_top10", "knn_cosine_top10", "knn_batch_top5_per_query", "knn_left_join_metadata", "boost_and_resort", "filter_all", "chunk_sentence", "chunk_paragraph", "chunk_fixed_breakpoints", "chunk_context_window", "upsert_chunks", "strip_code_comments", "universal_normalise", "config_terms", "section_split", "tokenize_query", "repo_name", "postprocess_dispatch", "comment_extract", "content_type", "quality_score", "authority_score", "domain_tags_top5", "query_intent_top3", "tfidf_scores", "removable_terms", "recommendation_strategy", "learning_fold", "ingest_end_to_end", "stream_ingest_equals_batch", "stream_job_states", "delete_file", "authority_markers", "domain_context", "cached_recommendation_latest", "ewma_effectiveness", "recent_variance", "job_state_fold", "job_cleanup", "latest_progress"]
 
 
 def norm(v):
