@@ -114,6 +114,8 @@ class Parsed:
 
 
 _PUT = re.compile("\ue000(\\d+)\ue001")
+#: Tags that end the item or paragraph before them.
+_BREAK = re.compile(r"(?i)(?P<lead>\ue002\s*)?</?(?:p|div|ul|ol|dl|dt|dd|table|thead|tbody|tr|td|th|caption|blockquote|section|article|header|footer|main|nav|figure|details|summary)\b(?:\s[^<>]*)?/?>")
 
 
 def _inline(s: str, kind: str) -> str:
@@ -186,7 +188,7 @@ def parse(text: str, path: str | None = None) -> Parsed:
             return f"\ue000{len(held) - 1}\ue001"
         return m[0] if g else m[0]
 
-    clean = text.replace("\ufeff", "").replace("\ue000", "").replace("\ue001", "")
+    clean = re.sub("[\ufeff\ue000-\ue003]", "", text)
     rest = BLOCK.sub(take, clean) if _OPENERS.search(clean) else clean
 
     def title(m: re.Match) -> str:
@@ -198,6 +200,9 @@ def parse(text: str, path: str | None = None) -> Parsed:
         rest = HTML_HEADING.sub(title, rest)
         rest = re.sub(r"(?i)</li\s*>", "", rest)
         rest = HTML_ITEM.sub("\n\ue002", rest)
+        out.any = out.any or bool(_BREAK.search(rest))
+        # what follows begins a line, marked so that it isn't read as one that begins with Markdown
+        rest = _BREAK.sub(lambda m: m["lead"] if m["lead"] is not None else "\n\ue003", rest)
     lines = rest.split("\n")
     done: list[str] = []
     levels = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 6}
@@ -213,11 +218,22 @@ def parse(text: str, path: str | None = None) -> Parsed:
                 out.elements.append((e, level, t))
         done.append(s)
 
+    def shown(s: str) -> str:
+        """An element's text, with what was taken out of it put back."""
+        return _PUT.sub(lambda p: held[int(p[1])][2], s)
+
     seen: set = set()
     i = 0
     while i < len(lines):
         line = lines[i]
         body = line.strip()
+        if body.startswith("\ue003"):
+            body = body.strip("\ue003 \t")
+            t = _inline(body, kind)
+            if t.strip() or _PUT.search(t):
+                put(t.strip())
+            i += 1
+            continue
         if not body:
             done.append("")
             i += 1
@@ -225,7 +241,7 @@ def parse(text: str, path: str | None = None) -> Parsed:
         if body.startswith("\ue002"):
             out.any = True
             t = _inline(body[1:].strip(), kind)
-            out.elements.append(("list_item", 0, t))
+            out.elements.append(("list_item", 0, shown(t)))
             put("- " + t)
             i += 1
             continue
@@ -234,7 +250,7 @@ def parse(text: str, path: str | None = None) -> Parsed:
             out.any = True
             level = levels[m["level"]] if kind == "tex" else len(m["level"])
             t = _inline(m["text"], kind)
-            out.elements.append(("heading", level, t))
+            out.elements.append(("heading", level, shown(t)))
             put("#" * level + " " + t)
             i += 1
             continue
@@ -242,7 +258,7 @@ def parse(text: str, path: str | None = None) -> Parsed:
             out.any = True
             level = 1 if "=" in lines[i + 1] else 2
             t = _inline(body, kind)
-            out.elements.append(("heading", level, t))
+            out.elements.append(("heading", level, shown(t)))
             put("#" * level + " " + t)
             i += 2
             continue
@@ -256,7 +272,7 @@ def parse(text: str, path: str | None = None) -> Parsed:
         if m and not (kind == "wiki" and re.match(r"^\*\*[^*\n]+\*\*", line)):
             out.any = True
             t = _inline(re.sub(r"^\[[ xX]\][ \t]+", "", m["text"].strip()), kind)
-            out.elements.append(("list_item", 0, t))
+            out.elements.append(("list_item", 0, shown(t)))
             depth = len(m["bullet"]) - 1 if kind == "wiki" else len(m["indent"].expandtabs(4)) // 2 if "indent" in m.groupdict() else 0
             put("  " * depth + "- " + t)
             i += 1
@@ -285,7 +301,7 @@ def parse(text: str, path: str | None = None) -> Parsed:
     if not out.any:
         out.text = text
         return out
-    out.text = re.sub(r"\n{3,}", "\n\n", _PUT.sub(back, "\n".join(done)).replace("\ue002", "")).strip("\n")
+    out.text = re.sub(r"\n{3,}", "\n\n", _PUT.sub(back, "\n".join(done)).replace("\ue002", "").replace("\ue003", "")).strip("\n")
     return out
 
 

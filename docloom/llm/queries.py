@@ -27,10 +27,20 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_text(_t(spark, d, "chunks").select("chunk_id", "file_path", "content")).select("chunk_id", "clean_text")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks, with the repository of their file as host."""
+    c = _t(spark, d, "chunks").select("chunk_id", "file_path", "content").dropDuplicates(["chunk_id"])
+    return c.withColumn("host", F.regexp_extract("file_path", r"^(/[^/]+/[^/]+/[^/]+)/", 1))
+
+
 def p2_wrappers(spark: SparkSession, d: str) -> DataFrame:
-    """Wrappers of the pages of each repository: the chunks of its HTML files."""
-    c = _t(spark, d, "chunks").select("chunk_id", "file_path", "content").where(F.col("file_path").rlike(r"(?i)\.x?html?$")).dropDuplicates(["chunk_id"])
-    return wrappers.infer(c.withColumn("host", F.regexp_extract("file_path", r"^(/[^/]+/[^/]+/[^/]+)/", 1)))
+    """Wrappers of the pages of each repository: all its chunks that hold tags."""
+    return wrappers.infer(_pages(spark, d))
+
+
+def p2_wrapped(spark: SparkSession, d: str) -> DataFrame:
+    """Elements that the wrappers yield, in the form of p2_found."""
+    return wrappers.elements(_pages(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +112,7 @@ def p9_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p2_wrappers, p3_found, p3_ppmi, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_groups, p9_unified)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p2_wrappers, p2_wrapped, p3_found, p3_ppmi, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_cohesion, p7_found, p7_edited, p8_mix, p8_shares, p9_found, p9_groups, p9_unified)}
 
 
 def _terms_sql(kind: str, name: str, k: int) -> str:

@@ -123,6 +123,12 @@ def test_elements(path, text, want):
         assert p.text == text
 
 
+def test_items_end_at_block_tags_and_hold_their_code():
+    p = markup.parse("<ol><li>a<ul><li>b</ul></ol><p>`code` x</p><table><tr><td># no</td><td>y</td></tr></table><ul><li><p>c `d`</p></li></ul>", "/a.html")
+    assert [e for e in p.elements] == [("list_item", 0, "a"), ("list_item", 0, "b"), ("list_item", 0, "c d")]
+    assert p.text == "- a\n- b\ncode x\n# no\ny\n- c d"
+
+
 def test_clean_text(spark):
     df = spark.createDataFrame([("a", "/a.md", "## H **b**\n\n* x [t](u)\n\n~~~\ncode\n~~~\n\n$a$"), ("b", "/b.md", None), ("c", None, "plain"), ("a", "/a.md", "x " * 200000)], CHUNK).withColumn("clean_text", F.lit("old"))
     rows = [r["clean_text"] for r in markup.clean_text(df).collect()]

@@ -17,9 +17,23 @@ def test_slots_groups_and_options():
     assert W.show(W.align(W.tokens(a), W.tokens(a))) == " ".join(W.tokens(a))
 
 
-def test_infer(spark):
-    rows = [("h", "<p>a</p>"), ("h", "<p>b</p>"), ("g", "plain"), (None, "<p>x</p>"), ("n", None), ("o", "<p>" * 5000)]
+def test_infer(spark, monkeypatch):
+    rows = [("h", "<p>a</p>"), ("h", "<p>b</p>"), ("g", "plain"), (None, "<p>x</p>"), ("n", None), ("o", "<p>" * 5000), ("h", "<b>other</b>")]
     df = spark.createDataFrame(rows, "host string, content string")
-    got = {r["host"]: (r["pages"], r["wrapper"]) for r in W.infer(df).collect()}
-    assert got["h"] == (2, "<p> #TEXT </p>") and set(got) == {"h", "o"} and got["o"][0] == 1
+    got = {(r["host"], r["tags"]): (r["pages"], W.show(W.loaded(r["wrapper"]))) for r in W.infer(df).collect()}
+    assert got["h", "</p> <p>"] == (2, "<p> #TEXT </p>") and got["h", "</b> <b>"] == (1, "<b> =other </b>") and set(got) == {("h", "</p> <p>"), ("h", "</b> <b>"), ("o", "<p>")}
+    assert got["o", "<p>"] == (1, " ".join(["<p>"] * 5000))  # whole pages, however long
     assert W.infer(df.limit(0)).count() == 0
+
+
+def test_a_class_dealt_out_to_tasks_has_one_wrapper(spark, monkeypatch):
+    rows = [("h", f"<h1>t{i}</h1><ul>" + "".join(f"<li>x{i}{j}</li>" for j in range(i % 4 + 1)) + "</ul>", f"c{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "host string, content string, chunk_id string")
+    monkeypatch.setattr(W, "PART", 5)
+    got = W.infer(df).collect()
+    assert len(got) == 1 and got[0]["pages"] == 40
+    w = W.loaded(got[0]["wrapper"])
+    assert all(reads(w, W.tokens(t)) for _, t, _ in rows)
+    found = sorted(map(tuple, W.elements(df).collect()))
+    assert found == sorted([(c, "heading", 1) for *_, c in rows] + [(f"c{i}", "list_item", j + 1) for i in range(40) for j in range(i % 4 + 1)])
+    assert W.elements(df.where("chunk_id = 'c1'")).count() == 0 and W.elements(df.limit(0)).count() == 0
