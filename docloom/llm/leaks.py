@@ -5,6 +5,9 @@ moves on if a random bit of (j, word) says so. Windows at a small edit distance
 few sampled positions of the output agree with good odds; several repetitions reach a recall that can be set. What agrees
 is verified by the exact edit distance of the words (0: the words are equal).
 
+Of a window that is to have at most so many edits, a run of words stays whole (width - edits words in edits + 1 runs). Where
+edits are allowed, only windows of documents that hold such a run of some item are walked; none that could be found is left out.
+
 The evaluation items are a fixed small set: their windows go to every task, checked against a limit; beyond it they are
 handled in blocks of items. Documents are read once and never shuffled.
 """
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm._text import alnum_table, codepoints, mix64, scan_rows, words
+from docloom.llm._text import alnum_table, codepoints, mix64, scan_rows, sliding_hash, words
 
 #: Code points of items that one pass over the documents looks for.
 BLOCK_CHARS = 8_000_000
@@ -79,7 +82,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int, open_end: bool = Fals
 class Probe:
     """The items' windows, indexed for every repetition of the walk."""
 
-    def __init__(self, ids: list[int], texts: list[str], width: int, repetitions: int, stride: int, samples: int = SAMPLES):
+    def __init__(self, ids: list[int], texts: list[str], width: int, repetitions: int, stride: int, samples: int = SAMPLES, most: int = 0):
         self.width, self.ids = width, np.array(ids, np.int64)
         self.tokens, off = words(*codepoints(pa.array(texts, pa.string())), alnum_table())
         n = np.diff(off)
@@ -87,6 +90,11 @@ class Probe:
         starts = [np.unique(np.append(np.arange(a, a + m - width + 1, stride), a + m - width)) if m >= width else np.empty(0, np.int64) for a, m in zip(off[:-1], n, strict=True)]
         self.item = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
         self.starts = np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64)
+        self.run = (width - most) // (most + 1) if most else 0  # words that stay together whatever the edits
+        if self.run:
+            self.runs = np.unique(sliding_hash(self.tokens, off, self.run)[0])
+            self.run_bits = np.zeros(1 << 22, bool)
+            self.run_bits[(self.runs >> np.uint64(42)).astype(np.int64)] = True
         self.tables = []
         for r in range(repetitions):
             walk = Walk(width, r, samples)
@@ -109,6 +117,17 @@ class Probe:
         found = []
         if len(self.starts) == 0 or len(starts) == 0:
             return tuple(np.empty(0, np.int64) for _ in range(4))  # type: ignore[return-value]
+        if self.run:
+            h, at = sliding_hash(tokens, off, self.run)
+            hit = self.run_bits[(h >> np.uint64(42)).astype(np.int64)]
+            where = np.flatnonzero(hit)
+            hit[where] = self.runs[np.minimum(np.searchsorted(self.runs, h[where]), len(self.runs) - 1)] == h[where]
+            before = np.concatenate([[0], np.cumsum(hit)])
+            first = at[row] + starts - off[row]
+            keep = before[np.minimum(first + self.width + most - self.run + 1, at[row + 1])] > before[np.minimum(first, at[row + 1])]
+            row, starts = row[keep], starts[keep]
+            if not len(starts):
+                return tuple(np.empty(0, np.int64) for _ in range(4))  # type: ignore[return-value]
         left = off[1:][row] - starts
         held = np.minimum(left, self.width)
         for walk, keys, order, bits in self.tables:
@@ -175,11 +194,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, width: int = 12, most: in
     n_windows: different windows of the item found. Words are maximal runs of letters and digits, lower-cased. Null texts
     and, unless shorter, items of fewer than width words match nothing. Items of one id are separate texts of that item.
     """
-    rows = [r for r in items.select("item_id", "text").where("item_id is not null and text is not null").collect()]
-    rows.sort(key=lambda r: (r["item_id"], r["text"]))
+    # items come to the driver one after another, and a block of them at a time goes out
     blocks: list[list] = [[]]
     size = 0
-    for r in rows:
+    for r in items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
         size += len(r["text"])
         if size > BLOCK_CHARS and blocks[-1]:
             blocks.append([])
@@ -194,11 +212,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, width: int = 12, most: in
 
 def _probes(ids: list[int], texts: list[str], width: int, most: int, recall: float, stride: int, shorter: bool) -> list[tuple[Probe, int]]:
     """The probe of windows of width words and, for shorter items, one of each size; with the edits each allows."""
-    out = [(Probe(ids, texts, width, repetitions_for(width, most, recall), stride, EDITED_SAMPLES if most else SAMPLES), most)]
+    out = [(Probe(ids, texts, width, repetitions_for(width, most, recall), stride, EDITED_SAMPLES if most else SAMPLES, most), most)]
     size = np.diff(words(*codepoints(pa.array(texts, pa.string())), alnum_table())[1]) if shorter and texts else np.empty(0, np.int64)
     for n in np.unique(size[(size > 0) & (size < width)]).tolist():
         of, edits = np.flatnonzero(size == n), most * n // width
-        out.append((Probe([ids[i] for i in of], [texts[i] for i in of], n, repetitions_for(n, edits, recall), 1, EDITED_SAMPLES if edits else SAMPLES), edits))
+        out.append((Probe([ids[i] for i in of], [texts[i] for i in of], n, repetitions_for(n, edits, recall), 1, EDITED_SAMPLES if edits else SAMPLES, edits), edits))
     return out
 
 

@@ -28,20 +28,17 @@ LEVELS = 6
 MAX_SOURCES = 10_000
 
 
+# Fixed value: how the byte-level BPE of 50,257 tokens splits a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(2)
 def _encoding(path: str):
     import tiktoken
 
-    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    try:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pass
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -87,10 +84,10 @@ def plan_mixture(docs: DataFrame, targets: list[Row], total: int | None = None)
 
     def histogram(level: int, inside: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
         at = F.shiftright("h", BITS * (LEVELS - 1 - level))
-        rows = docs.where(F.col("source").isin(list(inside)))
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(list(inside.items()), "source string, prefix long"))  # a row per source
+        rows = docs.join(wanted, "source")
         if level:  # only the boundary bucket of each source
-            prefix = F.shiftright("h", BITS * (LEVELS - level))
-            rows = rows.where(F.create_map(*[F.lit(x) for kv in inside.items() for x in kv])[F.col("source")] == prefix)
+            rows = rows.where(F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix"))
         out: dict[str, list[tuple[int, int, int]]] = {}
         for r in rows.groupBy("source", at.alias("b")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("c")).collect():
             out.setdefault(r["source"], []).append((r["b"], r["n"], r["c"]))

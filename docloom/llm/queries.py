@@ -129,6 +129,31 @@ r_t AS (SELECT record_id, lower(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS term
 SELECT * FROM c_b UNION ALL SELECT * FROM r_b"""
 
 
+def _ppmi_sql(kind: str, name: str, k: int) -> str:
+    return f"""{name}_j AS (SELECT record_id, term, count(*) AS tf FROM {name}_t GROUP BY ALL), {name}_n AS (SELECT record_id, sum(tf) AS n FROM {name}_j GROUP BY 1), {name}_d AS (SELECT term, count(*) AS df, sum(tf) AS n_term FROM {name}_j GROUP BY 1 HAVING count(*) >= 2),
+{name}_s AS (SELECT record_id, term, tf, df, round(greatest(0, ln(tf * (SELECT sum((n ** 0.75)::DECIMAL(28, 9))::DOUBLE FROM {name}_n) / (n_term * n ** 0.75))), 9) AS score FROM {name}_j JOIN {name}_d USING (term) JOIN {name}_n USING (record_id)),
+{name}_b AS (SELECT '{kind}' AS record_kind, record_id, term, tf, df, round(score, 4) AS score FROM {name}_s QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY score DESC, term) <= {k})"""
+
+
+P3_PPMI = P3.replace(_terms_sql("chunk", "c", 3), _ppmi_sql("chunk", "c", 3)).replace(_terms_sql("recommendation", "r", 1), _ppmi_sql("recommendation", "r", 1))
+P5 = """WITH t AS (SELECT chunk_id, any_value(content) AS c FROM chunks WHERE content IS NOT NULL GROUP BY 1), w AS (SELECT chunk_id, regexp_extract_all(lower(c), '[a-z0-9_]+') AS w FROM t),
+s AS (SELECT DISTINCT chunk_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)), n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.chunk_id < y.chunk_id GROUP BY 1, 2)
+SELECT a AS chunk_id_1, b AS chunk_id_2 FROM b JOIN n p ON p.chunk_id = a JOIN n q ON q.chunk_id = b WHERE 5 * k >= 3 * (p.n + q.n - k)"""
+P6 = r"""WITH RECURSIVE conf AS (SELECT file_extension AS ext, arg_max(chunk_size, config_version) AS size, greatest(0, least(coalesce(arg_max(overlap, config_version), 0), arg_max(chunk_size, config_version) - 1)) AS ov FROM chunking_config WHERE chunk_size > 0 GROUP BY 1),
+t AS (SELECT chunk_id, any_value(file_path) AS p, any_value(content) AS c FROM chunks WHERE content IS NOT NULL GROUP BY 1),
+e AS (SELECT chunk_id, c, coalesce(x.size, y.size) AS size, coalesce(x.ov, y.ov) AS ov FROM t LEFT JOIN conf x ON x.ext = CASE WHEN contains(p, '.') THEN string_split(p, '.')[-1] ELSE '*' END LEFT JOIN conf y ON y.ext = '*' WHERE length(c) > coalesce(x.size, y.size)),
+k AS (SELECT chunk_id, regexp_extract_all(c, '[ 	
+]+|[^ 	
+]+') AS toks FROM e), u AS (SELECT chunk_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM k),
+o AS (SELECT *, (sum(length(tok)) OVER (PARTITION BY chunk_id ORDER BY i))::BIGINT - length(tok) AS p, lag(tok) OVER (PARTITION BY chunk_id ORDER BY i) AS ws, lag(tok, 2) OVER (PARTITION BY chunk_id ORDER BY i) AS bef FROM u),
+cand AS (SELECT chunk_id, list({'p': p, 'k': CASE WHEN length(ws) - length(replace(ws, chr(10), '')) >= 2 THEN 3 WHEN coalesce(right(bef, 1), '') IN ('.', '!', '?') THEN 2 ELSE 1 END}) AS cs FROM o WHERE i > 1 AND NOT regexp_matches(tok, '^[ 	
+]') GROUP BY 1),
+r AS (SELECT e.chunk_id, length(c)::BIGINT AS n, size::BIGINT AS size, ov::BIGINT AS ov, cs, 0::BIGINT AS s, size::BIGINT AS w FROM e LEFT JOIN cand USING (chunk_id)
+UNION ALL SELECT chunk_id, n, size, ov, cs, coalesce(list_max(list_transform(list_filter(cs, lambda x: x.p > s + w // 2 AND x.p <= s + w), lambda x: x.k::BIGINT * 1000000000 + x.p)) % 1000000000, s + w), greatest(size - ov, 1) FROM r WHERE n - s > w)
+SELECT chunk_id, s::INT AS cut_at FROM r WHERE s > 0"""
+
+
 def _windows_sql(table: str, key: str) -> str:
     return rf"""SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12)"""
 
@@ -138,4 +163,4 @@ P7 = f"WITH d AS ({_windows_sql('documents', 'doc_id')}), e AS ({_windows_sql('e
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL states the same result in good time: the others are approximate, sequential or need Unicode tables."""
-    return {"p3_found": P3, "p7_found": P7}
+    return {"p3_found": P3, "p3_ppmi": P3_PPMI, "p5_found": P5, "p6_found": P6, "p7_found": P7}

@@ -54,7 +54,7 @@ def best_terms(records: DataFrame, k: int, score: str = "tfidf", min_df: int = 2
     """(record, term, tf, df, score, rank): the k best terms of each record of records (record, value).
 
     value is a text or an array of strings. Terms in fewer than min_df records take no part; ties: smaller term first (by its
-    bytes). Null values and records without terms count in N and give no row. record must be unique.
+    bytes). Scores of ppmi have nine decimals, so that rounding errors settle no tie. Null values and records without terms count in N and give no row. record must be unique.
     """
     if score not in ("tfidf", "ppmi"):
         raise ValueError(score)
@@ -66,7 +66,7 @@ def best_terms(records: DataFrame, k: int, score: str = "tfidf", min_df: int = 2
     if score == "tfidf":
         value = F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))
     else:
-        value = F.greatest(F.lit(0.0), F.log(F.col("tf") * F.col("smooth") / (F.col("n_term") * F.pow("n_record", F.lit(smoothing)))))
+        value = F.round(F.greatest(F.lit(0.0), F.log(F.col("tf") * F.col("smooth") / (F.col("n_term") * F.pow("n_record", F.lit(smoothing))))), 9)
     value = F.when(F.col("df").isNotNull(), value)  # greatest passes nulls over
     w = Window.partitionBy("record").orderBy(F.desc_nulls_last("score"), "term")
     rank = F.row_number().over(w)
