@@ -66,17 +66,22 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int, open_end: bool = Fals
     """
     n, wa = a.shape
     wb = b.shape[1]
-    big = most + 1
-    row = np.minimum(np.tile(np.arange(wb + 1), (n, 1)), big).astype(np.int16)
+    big = np.int8(most + 1)
+    # word by word of all rows, so that each step runs over contiguous numbers
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    far = np.full(n, big, np.int8)
+    row = [np.full(n, min(j, most + 1), np.int8) for j in range(wb + 1)]
     for i in range(1, wa + 1):
-        lo, hi = max(1, i - most), min(wb, i + most)
-        new = np.full_like(row, big)
+        new = [far] * (wb + 1)
         if i <= most:
-            new[:, 0] = i
-        for j in range(lo, hi + 1):
-            new[:, j] = np.minimum(np.minimum(row[:, j] + 1, new[:, j - 1] + 1), row[:, j - 1] + (a[:, i - 1] != b[:, j - 1]))
+            new[0] = np.full(n, i, np.int8)
+        for j in range(max(1, i - most), min(wb, i + most) + 1):
+            v = row[j - 1] + (a[i - 1] != b[j - 1])
+            np.minimum(v, row[j] + 1, out=v)
+            np.minimum(v, new[j - 1] + 1, out=v)
+            new[j] = np.minimum(v, big)
         row = new
-    return np.minimum(row.min(1) if open_end else row[:, wb], big)
+    return np.min(row, axis=0) if open_end else row[wb]
 
 
 class Probe:
