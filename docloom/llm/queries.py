@@ -143,12 +143,9 @@ SELECT a AS chunk_id_1, b AS chunk_id_2 FROM b JOIN n p ON p.chunk_id = a JOIN n
 P6 = r"""WITH RECURSIVE conf AS (SELECT file_extension AS ext, arg_max(chunk_size, config_version) AS size, greatest(0, least(coalesce(arg_max(overlap, config_version), 0), arg_max(chunk_size, config_version) - 1)) AS ov FROM chunking_config WHERE chunk_size > 0 GROUP BY 1),
 t AS (SELECT chunk_id, any_value(file_path) AS p, any_value(content) AS c FROM chunks WHERE content IS NOT NULL GROUP BY 1),
 e AS (SELECT chunk_id, c, coalesce(x.size, y.size) AS size, coalesce(x.ov, y.ov) AS ov FROM t LEFT JOIN conf x ON x.ext = CASE WHEN contains(p, '.') THEN string_split(p, '.')[-1] ELSE '*' END LEFT JOIN conf y ON y.ext = '*' WHERE length(c) > coalesce(x.size, y.size)),
-k AS (SELECT chunk_id, regexp_extract_all(c, '[ 	
-]+|[^ 	
-]+') AS toks FROM e), u AS (SELECT chunk_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM k),
+k AS (SELECT chunk_id, regexp_extract_all(c, '[ \t\r\n]+|[^ \t\r\n]+') AS toks FROM e), u AS (SELECT chunk_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM k),
 o AS (SELECT *, (sum(length(tok)) OVER (PARTITION BY chunk_id ORDER BY i))::BIGINT - length(tok) AS p, lag(tok) OVER (PARTITION BY chunk_id ORDER BY i) AS ws, lag(tok, 2) OVER (PARTITION BY chunk_id ORDER BY i) AS bef FROM u),
-cand AS (SELECT chunk_id, list({'p': p, 'k': CASE WHEN regexp_matches(ws, '\n[ \t\r]*\n') THEN 3 WHEN coalesce(right(bef, 1), '') IN ('.', '!', '?') THEN 2 ELSE 1 END}) AS cs FROM o WHERE i > 1 AND NOT regexp_matches(tok, '^[ 	
-]') GROUP BY 1),
+cand AS (SELECT chunk_id, list({'p': p, 'k': CASE WHEN regexp_matches(ws, '\n[ \t\r]*\n') THEN 3 WHEN coalesce(right(bef, 1), '') IN ('.', '!', '?') THEN 2 ELSE 1 END}) AS cs FROM o WHERE i > 1 AND NOT regexp_matches(tok, '^[ \t\r\n]') GROUP BY 1),
 r AS (SELECT e.chunk_id, length(c)::BIGINT AS n, size::BIGINT AS size, ov::BIGINT AS ov, cs, 0::BIGINT AS s, size::BIGINT AS w FROM e LEFT JOIN cand USING (chunk_id)
 UNION ALL SELECT chunk_id, n, size, ov, cs, coalesce(list_max(list_transform(list_filter(cs, lambda x: x.p > s + w // 2 AND x.p <= s + w), lambda x: x.k::BIGINT * 1000000000 + x.p)) % 1000000000, s + w), greatest(size - ov, 1) FROM r WHERE n - s > w)
 SELECT chunk_id, s::INT AS cut_at FROM r WHERE s > 0"""
