@@ -133,24 +133,50 @@ def metadata_of(metadata: DataFrame, chunk_id: str) -> DataFrame:
     return latest(metadata.where(F.col("chunk_id") == chunk_id), ["chunk_id"], "created_at")
 
 
+#: Chunk numbers that are placed together; a file of any size is dealt out to tasks by them.
+SPAN = 4096
+
+
+def positioned(chunks: DataFrame) -> DataFrame:
+    """chunks with position: their place in their file by chunk_index, from 0.
+
+    Places are counted within spans of chunk numbers, and the spans before are added up; no task sees a whole large file.
+    """
+    span = F.coalesce(F.floor(F.col("chunk_index") / SPAN), F.lit(-(1 << 40)))  # no number comes first
+    rows = chunks.withColumn("_span", span)
+    sizes = rows.groupBy("file_path", "_span").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file_path").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file_path", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("file_path", "_span").orderBy("chunk_index"))
+    return rows.join(starts, ["file_path", "_span"]).withColumn("position", (F.col("_start") + inside - 1).cast("long")).select(*chunks.columns, "position")
+
+
 def context_window(chunks: DataFrame, targets: DataFrame, size: int = 3) -> DataFrame:
-    """(target_id, file_path, position, chunk_id, ...): the chunks around each target, by position in its file.
+    """(file_path, position, ..., target_index, target_position): the chunks around each target, by position in its file.
 
-    targets: file_path, chunk_index. A target that does not exist gives no row. One window over the files of the targets.
+    targets: file_path, chunk_index. A target that does not exist gives no row. Targets meet their surroundings by position.
     """
-    w = Window.partitionBy("file_path").orderBy("chunk_index")
     want = targets.select("file_path", F.col("chunk_index").alias("target_index")).distinct()
     mine = chunks.join(want.select("file_path").distinct(), "file_path", "left_semi")
-    placed = mine.withColumn("position", F.row_number().over(w) - 1)
-    at = placed.select("file_path", F.col("chunk_index").alias("target_index"), F.col("position").alias("target_position"))
+    placed = positioned(mine)
+    at = placed.select("file_path", F.col("chunk_index").alias("target_index"), F.col("position").alias("target_position")).distinct()
     found = want.join(at, ["file_path", "target_index"])
-    return placed.join(found, "file_path").where(F.abs(F.col("position") - F.col("target_position")) <= size)
+    around = found.withColumn("position", F.explode(F.sequence(F.col("target_position") - size, F.col("target_position") + size)))
+    return placed.join(around, ["file_path", "position"])
 
 
-def neighbours(chunks: DataFrame, size: int, content: str = "content") -> DataFrame:
-    """chunks with context: the contents of the size chunks before and after each in its file, joined by line ends."""
-    w = Window.partitionBy("file_path").orderBy("chunk_index").rowsBetween(-size, size)
-    return chunks.withColumn("context", F.concat_ws("\n", F.collect_list(content).over(w)))
+def neighbours(chunks: DataFrame, size: int, content: str = "content", id: str = "chunk_id") -> DataFrame:
+    """chunks with context: the contents of the size chunks before and after each in its file, joined by line ends.
+
+    id must be unique. Only ids are placed; contents go to the positions that need them.
+    """
+    placed = positioned(chunks.select("file_path", "chunk_index", id))
+    texts = placed.select(id, "file_path", "position").join(chunks.select(id, F.col(content).alias("_text")).where("_text is not null"), id)
+    sent = texts.select("file_path", F.explode(F.sequence(F.col("position") - size, F.col("position") + size)).alias("to"), "position", "_text")
+    gathered = sent.groupBy("file_path", "to").agg(F.sort_array(F.collect_list(F.struct("position", "_text"))).alias("_around"))  # 2 * size + 1 texts
+    context = placed.select(id, "file_path", F.col("position").alias("to")).join(gathered, ["file_path", "to"], "left")
+    joined = F.concat_ws("\n", F.transform(F.coalesce("_around", F.array().cast("array<struct<position:bigint,_text:string>>")), lambda x: x["_text"]))
+    return chunks.join(context.select(id, joined.alias("context")), id)
 
 
 def previews(hits: DataFrame, length: int = 180) -> DataFrame:

@@ -222,3 +222,16 @@ def test_lookups_by_id_and_hits_of_several_deliveries(spark):
     q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [1.0, 0.0, 0.0])], "query_id string, embedding array<float>")
     d = c.select("chunk_id", "embedding").unionByName(spark.createDataFrame([("x", [0.0, 1.0, 0.0])], "chunk_id string, embedding array<float>"))
     assert {(r["query_id"], r["id"]) for r in top_k(d, q, 1).collect()} == {("q1", "a"), ("q2", "x")}
+
+
+def test_positions_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SPAN", 4)
+    rows = [(f"f:{i}", "f", i, f"t{i}" if i != 8 else None) for i in range(0, 40, 2)] + [("g:0", "g", 0, "x"), ("f:none", "f", None, "n")]
+    df = spark.createDataFrame(rows, "chunk_id string, file_path string, chunk_index int, content string")
+    at = {r["chunk_id"]: r["position"] for r in retrieval.positioned(df).collect()}
+    assert at["f:none"] == 0 and [at[f"f:{i}"] for i in range(0, 40, 2)] == list(range(1, 21)) and at["g:0"] == 0
+    want = spark.createDataFrame([("f", 10), ("f", 12), ("f", 11), ("g", 0)], "file_path string, chunk_index int")
+    got = sorted((r["target_index"], r["chunk_index"]) for r in retrieval.context_window(df, want, 1).collect())
+    assert got == [(0, 0), (10, 8), (10, 10), (10, 12), (12, 10), (12, 12), (12, 14)]
+    near = {r["chunk_id"]: r["context"] for r in retrieval.neighbours(df, 1).collect()}
+    assert near["f:10"] == "t10\nt12" and near["f:8"] == "t6\nt10" and near["g:0"] == "x" and near["f:0"] == "n\nt0\nt2" and len(near) == 22
