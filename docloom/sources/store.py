@@ -94,8 +94,8 @@ class Store:
         schema = schemas.struct(schemas.TABLES[name])
         part = f"p-{uuid.uuid4().hex}"
         out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).withColumn("_bucket", bucket_of(name))
-        # a bucket may hold a large file, so it is written by several tasks
-        out = out.repartition("_bucket", F.pmod(F.xxhash64(schema.fieldNames()[0]), F.lit(8))) if _file_of(name) is not None else out
+        # small buckets are written together, one that holds a large file by several tasks
+        out = out.hint("rebalance", F.col("_bucket")) if _file_of(name) is not None else out
         out.write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{part}")
         found = self._fs.listStatus(self._path(f"{self.root}/{name}/{part}"))
         names = [f.getPath().getName() for f in found if f.isDirectory()]
